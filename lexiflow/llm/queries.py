@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiflow.llm import media, urlfilter, warc
+from lexiflow.llm import media, simhash, urlfilter, warc
 from lexiflow.llm.common import fresh_path, table
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -28,7 +33,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_warc, op9_media_columns, op10_url_filter)}
+    return {f.__name__: f for f in (op2_simhash, op5_warc, op9_media_columns, op10_url_filter)}
 
 
 OP5_SQL = """
