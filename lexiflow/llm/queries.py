@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiflow.llm import media, simhash, urlfilter, warc
+from lexiflow.llm import media, simhash, substring, urlfilter, warc
 from lexiflow.llm.common import fresh_path, table
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -23,6 +23,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captured(warc.assemble(warc.read_archive(spark, path, with_payload=False)))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.media_columns(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
@@ -33,7 +37,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op5_warc, op9_media_columns, op10_url_filter)}
+    return {f.__name__: f for f in (op2_simhash, op5_warc, op6_substring_dedup, op9_media_columns, op10_url_filter)}
 
 
 OP5_SQL = """
@@ -48,6 +52,18 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM m
 """
 
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, w[i:i + 12] AS win FROM d, unnest(range(1, len(w) - 11)) AS r(i)),
+f AS (SELECT win, min(doc_id) AS first_id FROM s GROUP BY win),
+g AS (SELECT DISTINCT doc_id, i + k AS i FROM s JOIN f USING (win), unnest(range(0, 13)) AS r(k) WHERE doc_id > first_id),
+x AS (SELECT doc_id, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS r(i)),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN g USING (doc_id, i) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
 OP10_SQL = """
 WITH r(rule, verdict, host, path) AS (VALUES ('com/en/', 'block', 'com', '/en/'), ('example.com/en/7', 'allow', 'example.com', '/en/7'),
   ('net/de/', 'allow', 'net', '/de/'), ('example.net/de/8', 'block', 'example.net', '/de/8'), ('org/es/', 'block', 'org', '/es/')),
@@ -61,4 +77,4 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') A
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL, "op10_url_filter": OP10_SQL}
+    return {"op5_warc": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}
