@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiflow.llm import media, simhash, substring, urlfilter, warc
+from lexiflow.llm import decontam, media, simhash, substring, urlfilter, warc
 from lexiflow.llm.common import fresh_path, table
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -17,6 +17,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -37,8 +41,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op5_warc, op6_substring_dedup, op9_media_columns, op10_url_filter)}
-
+    return {f.__name__: f for f in (op2_simhash, op3_decontamination, op5_warc, op6_substring_dedup, op9_media_columns, op10_url_filter)}
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, win, len(win) AS n FROM (
+  SELECT item_id, w[i:i + 9] AS win FROM b, unnest(range(1, len(w) - 8)) AS r(i) UNION ALL SELECT item_id, w FROM b WHERE len(w) BETWEEN 1 AND 9)),
+h AS (SELECT doc_id, i, n, item_id FROM (SELECT doc_id, i, n, w[i:i + n - 1] AS win FROM d, (SELECT DISTINCT n FROM v) AS z, unnest(range(1, len(w) - n + 2)) AS r(i)) JOIN v USING (win, n)),
+p AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM h), unnest(range(0, n)) AS r(k) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
 
 OP5_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS data FROM pages),
@@ -77,4 +93,4 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') A
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}
+    return {"op3_decontamination": OP3_SQL, "op5_warc": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}
