@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiflow.llm import decontam, media, simhash, substring, urlfilter, warc
+from lexiflow.llm import decontam, media, secrets, simhash, substring, urlfilter, warc
 from lexiflow.llm.common import fresh_path, table
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
@@ -41,7 +45,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_decontamination, op5_warc, op6_substring_dedup, op9_media_columns, op10_url_filter)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_decontamination, op5_warc, op6_substring_dedup, op9_media_columns, op10_url_filter)}
 
 
 OP3_SQL = r"""
