@@ -22,7 +22,8 @@ Cost: one row for each task's batch and bucket holds packed anchors, about 0.3 a
 batch, repeats of a window are settled on the spot: only the smallest document's occurrence is
 shuffled, so a passage in a third of all documents is one entry for each batch. The
 shuffle's buckets are as many as the session's shuffle partitions, so a bucket's size doesn't
-grow with the input. Answers go back as positions, and meet the text in one join.
+grow with the input. Answers go back as positions, packed by part (a hash of the document) in a second
+shuffle, where they become one row a document, and meet the text in one join.
 
 Null texts have no words. Rows with equal ids don't remove words from each other. A null id counts
 as larger than any other: such rows lose words and take none. Copies of a row come out as often as
@@ -46,9 +47,10 @@ from lexiflow.llm.common import shuffle_partitions
 WINDOW = 13
 BEFORE, AFTER = 2, 6
 FREE = WINDOW - BEFORE - AFTER  # an anchor may stand at FREE + 1 places of a window
-BATCH_WORDS = 1_500_000
+BATCH_WORDS = 500_000
 LAST = np.iinfo(np.int64).max  # a null id
 ANCHOR = np.dtype([("name", "<u8"), ("doc", "<i8"), ("key", "<u8"), ("at", "<u4"), ("n", "u1")])
+ANSWER = np.dtype([("doc", "<i8"), ("key", "<u8"), ("at", "<u4"), ("n", "<u4")])  # n windows from at on go
 U = np.uint64
 
 
@@ -152,25 +154,28 @@ def _runs(row: np.ndarray, at: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray
     return row[first], at[first], np.diff(np.append(first, len(row)))
 
 
-def _answers(doc: np.ndarray, key: np.ndarray, at: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(doc, key, packed (start, number of windows) pairs) for each document."""
-    order = np.lexsort((at, key, doc))
-    doc, key, pairs = doc[order], key[order], np.stack((at[order], n[order]), axis=1).astype("<u4")
-    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))) if len(doc) else []
-    for lo, hi in zip(new, [*new[1:], len(doc)]):
-        yield int(doc[lo]), int(key[lo]), pairs[lo:hi].tobytes()
+def _answers(doc: np.ndarray, key: np.ndarray, at: np.ndarray, n: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, packed ANSWERs) for each part that has some."""
+    out = np.empty(len(doc), ANSWER)
+    out["doc"], out["key"], out["at"], out["n"] = doc, key, at, n
+    to = (mix(doc.astype(np.int64).view(U) ^ key.astype(U)) % U(parts)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    out, edges = out[order], np.searchsorted(to[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(edges)).tolist():
+        yield p, out[edges[p] : edges[p + 1]].tobytes()
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _batches(rows: list[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(rows), size):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + size]), schema)], schema=schema)
 
 
-SENT = "bucket int, doc long, key long, anchors binary, windows binary, answer binary"
+SENT = "bucket int, anchors binary, windows binary, answer binary"
 
 
 def send(df: DataFrame, buckets: int, batch_words: int) -> DataFrame:
     """df (doc, key, text) -> SENT: packed anchors by bucket, and answers that a batch settled itself."""
-    schema = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("key", pa.int64()), ("anchors", pa.binary()), ("windows", pa.binary()), ("answer", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("anchors", pa.binary()), ("windows", pa.binary()), ("answer", pa.binary())])
 
     def pack(hashes: list[np.ndarray], docs: list[int], keys: list[int]) -> Iterator[pa.RecordBatch]:
         lengths = np.array([len(x) for x in hashes])
@@ -181,7 +186,8 @@ def send(df: DataFrame, buckets: int, batch_words: int) -> DataFrame:
         held = window[start[row] + k].astype("<u4")
         doc, key = np.array(docs, np.int64), np.array(keys, np.int64).view(U)
         known = settle(name[row], doc[text[row]], held)
-        rows = [(int(d % buckets), d, _signed(q), None, None, x) for d, q, x in _answers(*(lambda r, a, m: (doc[text[r]], key[text[r]], start[r] - base[text[r]] + a, m))(*_runs(row, k, known)))]
+        r, a, m = _runs(row, k, known)
+        rows = [(p, None, None, x) for p, x in _answers(doc[text[r]], key[text[r]], start[r] - base[text[r]] + a, m, buckets)]
         left, first, m = _runs(row, k, ~known)
         out = np.empty(len(left), ANCHOR)
         out["name"], out["doc"], out["key"], out["at"], out["n"] = name[left], doc[text[left]], key[text[left]], start[left] - base[text[left]] + first, m
@@ -194,9 +200,8 @@ def send(df: DataFrame, buckets: int, batch_words: int) -> DataFrame:
             mine = order[edges[b] : edges[b + 1]]
             if len(mine):
                 r, j = _expand(m[mine])
-                rows.append((b, None, None, out[mine].tobytes(), kept[offset[mine][r] + j].tobytes(), None))
-        for lo in range(0, len(rows), 2000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 2000]), schema)], schema=schema)
+                rows.append((b, out[mine].tobytes(), kept[offset[mine][r] + j].tobytes(), None))
+        yield from _batches(rows, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hashes, docs, keys, total = _Hashes(), [], [], [], 0
@@ -218,17 +223,17 @@ def send(df: DataFrame, buckets: int, batch_words: int) -> DataFrame:
     return df.mapInArrow(run, SENT)
 
 
-def answer(sent: DataFrame) -> DataFrame:
-    """SENT, dealt by bucket -> (doc, key, answer) of the windows that go."""
-    schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("answer", pa.binary())])
+def answer(sent: DataFrame, parts: int) -> DataFrame:
+    """SENT, dealt by bucket -> (part, packed ANSWERs) of the windows that go."""
+    schema = pa.schema([("part", pa.int32()), ("answer", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, windows = [], []
         for batch in batches:
-            mine = batch.filter(pa.compute.is_valid(batch.column(5)))
-            if mine.num_rows:
-                yield pa.RecordBatch.from_arrays([mine.column(1), mine.column(2), mine.column(5)], schema=schema)
-            for a, w in zip(batch.column(3), batch.column(4)):
+            settled = batch.filter(pa.compute.is_valid(batch.column(3)))
+            if settled.num_rows:
+                yield pa.RecordBatch.from_arrays([settled.column(0), settled.column(3)], schema=schema)
+            for a, w in zip(batch.column(1), batch.column(2)):
                 if a.is_valid:
                     packed.append(np.frombuffer(a.as_buffer(), ANCHOR).copy())
                     windows.append(np.frombuffer(w.as_buffer(), "<u4").copy())
@@ -247,20 +252,36 @@ def answer(sent: DataFrame) -> DataFrame:
         held = held[offset[row] + k]
         gone = settle(found["name"][row], found["doc"][row], held)
         r, first, m = _runs(row, k, gone)
-        rows = [(d, _signed(q), x) for d, q, x in _answers(found["doc"][r], found["key"][r], found["at"][r] + first, m)]
-        for lo in range(0, len(rows), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 5000]), schema)], schema=schema)
+        yield from _batches(list(_answers(found["doc"][r], found["key"][r], found["at"][r] + first, m, parts)), schema)
 
-    return sent.mapInArrow(run, "doc long, key long, answer binary")
+    return sent.mapInArrow(run, "part int, answer binary")
 
 
-def covered(n_words: int, answers: list[bytes] | None) -> np.ndarray:
-    """Whether each of the words is in a window of the answers."""
+def by_document(answers: DataFrame) -> DataFrame:
+    """(part, packed ANSWERs), dealt by part -> (doc, key, packed (start, windows) pairs), one row a document."""
+    schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("pairs", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(x.as_buffer(), ANSWER).copy() for batch in batches for x in batch.column(1)]
+        if not held:
+            return
+        found = np.concatenate(held)
+        found = found[np.lexsort((found["key"], found["doc"]))]
+        doc, key = found["doc"].copy(), found["key"].copy()
+        new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))))
+        pairs = np.stack((found["at"], found["n"]), axis=1)
+        packed = [pairs[lo:hi].tobytes() for lo, hi in zip(new, [*new[1:], len(doc)])]
+        yield from _batches(list(zip(doc[new].tolist(), key.view(np.int64)[new].tolist(), packed)), schema, 5000)
+
+    return answers.mapInArrow(run, "doc long, key long, pairs binary")
+
+
+def covered(n_words: int, packed: bytes | None) -> np.ndarray:
+    """Whether each of the words is in one of the packed windows."""
     change = np.zeros(n_words + 1, np.int64)
-    for packed in answers or ():
-        pairs = np.frombuffer(packed, "<u4").reshape(-1, 2).astype(np.int64)
-        np.add.at(change, pairs[:, 0], 1)
-        np.add.at(change, pairs[:, 0] + pairs[:, 1] + WINDOW - 1, -1)
+    pairs = np.frombuffer(packed or b"", "<u4").reshape(-1, 2).astype(np.int64)
+    np.add.at(change, pairs[:, 0], 1)
+    np.add.at(change, pairs[:, 0] + pairs[:, 1] + WINDOW - 1, -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -272,17 +293,16 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col), text.alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("_doc"), F.xxhash64(text).alias("_key"))
     sent = send(docs.select("_doc", "_key", "_text"), buckets, batch_words).repartition(buckets, "bucket")
-    # one window's repeats come from different buckets, so a document has an answer for each of many
-    answers = answer(sent).groupBy("doc", "key").agg(F.collect_list("answer").alias("_answers"))
-    both = docs.join(answers, (F.col("_doc") == F.col("doc")) & (F.col("_key") == F.col("key")), "left").select(id_col, "_text", "_answers")
+    answers = by_document(answer(sent, buckets).repartition(buckets, "part"))
+    both = docs.join(answers, (F.col("_doc") == F.col("doc")) & (F.col("_key") == F.col("key")), "left").select(id_col, "_text", "pairs")
     id_type = docs.schema[0].dataType.simpleString()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, digests, texts = [], [], [], []
-            for held, answers in zip(batch.column(1), batch.column(2)):
+            for held, packed in zip(batch.column(1), batch.column(2)):
                 words = held.as_py().encode("utf-8").split()
-                gone = covered(len(words), answers.as_py())
+                gone = covered(len(words), packed.as_py())
                 kept = b" ".join(words if not gone.any() else [words[i] for i in np.flatnonzero(~gone)])
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
