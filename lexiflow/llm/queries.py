@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiflow.llm import decontam, media, quality, secrets, simhash, substring, urlfilter, warc
+from lexiflow.llm import decontam, media, quality, secrets, sentencepiece_batch, simhash, substring, urlfilter, warc
 from lexiflow.llm.common import fresh_path, table
 
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
@@ -39,6 +40,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = TOKENIZER) -> DataFrame:
+    return sentencepiece_batch.encode(table(spark, sf_dir, "documents"), sentencepiece_batch.read_model(model_path))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.media_columns(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
@@ -49,7 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_decontamination, op5_warc, op6_substring_dedup, op7_quality_classifier, op9_media_columns, op10_url_filter)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_decontamination, op5_warc, op6_substring_dedup, op7_quality_classifier, op8_sentencepiece, op9_media_columns, op10_url_filter)}
 
 
 OP3_SQL = r"""
