@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiflow.llm import decontam, media, quality, secrets, sentencepiece_batch, simhash, substring, urlfilter, warc
+from lexiflow.llm import decontam, htmltext, media, quality, secrets, sentencepiece_batch, simhash, substring, urlfilter, warc
 from lexiflow.llm.common import fresh_path, table
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -26,6 +26,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -54,7 +58,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_decontamination, op5_warc, op6_substring_dedup, op7_quality_classifier, op8_sentencepiece, op9_media_columns, op10_url_filter)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_decontamination, op4_html_extraction, op5_warc, op6_substring_dedup, op7_quality_classifier, op8_sentencepiece, op9_media_columns, op10_url_filter)}
 
 
 OP3_SQL = r"""
