@@ -111,3 +111,10 @@ def find_contamination(
         F.coalesce("_sha", none).alias("items_sha256"),
         (F.coalesce("_n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **more) -> DataFrame:
+    """The rows of docs without a hit, with all their columns. Rows without an id and rows that share
+    one are judged together by id."""
+    hit = find_contamination(docs, items, id_col=id_col, **more).where("contaminated").select(F.col(id_col).alias("_goes")).distinct()
+    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_goes")), "left_anti")

@@ -177,6 +177,19 @@ def classify(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     return scored.withColumn("predicted", (F.col("score") >= cut_at).cast("int"))
 
 
+def keep_good(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id_col: str = "doc_id", cut_at: float = CUT) -> DataFrame:
+    """The rows of df whose score is cut_at or more, with all their columns. The texts aren't
+    shuffled: the model comes from one pass over the labelled rows, and a second pass filters."""
+    known = labels.select(F.col(label_id_col).alias("_id"), F.col(label_col).alias("label")).where(~held_out(F.col("_id"))).dropDuplicates()
+    model = fit(moments(with_statistics(df, id_col=id_col, text_col=text_col).join(known, F.col(id_col) == F.col("_id")).select("x", "label")))
+
+    @F.pandas_udf("boolean")
+    def good(text: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.array([statistics(t) for t in text])) >= cut_at if len(text) else [], dtype=bool)
+
+    return df.where(good(F.col(text_col).cast("string")))
+
+
 def crc_fold(id_) -> int:
     """The fold of an id, outside Spark."""
     return zlib.crc32(str(id_).encode()) % FOLDS

@@ -224,5 +224,13 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return docs.join(of, "fp").select(id_col, "fp", "component_id")
 
 
+def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of df that have their component's id, with all their columns: one document of each
+    group stays. Rows without an id stay only if no document of their group has one."""
+    groups = near_duplicates(df, id_col=id_col, text_col=text_col, shingle=shingle, threshold=threshold)
+    firsts = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays")).distinct()
+    return df.join(firsts, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
+
+
 def fingerprint_hex(fp) -> object:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
