@@ -8,7 +8,9 @@ lexicon in a join that Spark broadcasts only below its size threshold."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,10 +62,9 @@ def replace_phrases(df: DataFrame, pairs: dict[str, str], *, text_col: str = "te
 
 def _replace_many(df: DataFrame, pairs: dict[str, str], text_col: str) -> DataFrame:
     """A literal map is searched linearly; many pairs go through Arrow batches and a hash table."""
-    import pandas as pd
 
     @F.pandas_udf("string")
-    def run(batches):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pattern = re.compile(trie_pattern(list(pairs)))
         for batch in batches:
             yield pd.Series([None if t is None else pattern.sub(lambda m: pairs[m[0]], t) for t in batch], dtype=object)
@@ -110,10 +111,18 @@ def occurrences(text: Column, words: list[str]) -> Column:
 
 
 def match_spans_of(text: Column, word: str) -> Column:
-    """All starts of one word: the lengths between empty lookahead matches add up to the starts."""
-    places = F.filter(F.sequence(F.lit(0), F.length(text)), lambda i: F.substring(text, i + 1, F.lit(len(word))) == word)
-    spans = F.transform(places, lambda i: F.struct(i.cast("int").alias("start"), (i + len(word)).cast("int").alias("end"), F.lit(word).alias("src")))
-    return F.when(text.contains(word), spans).otherwise(F.array().cast("array<struct<start:int,end:int,src:string>>"))
+    """All starts of one word: split before each, the pieces' lengths add up to the starts."""
+    empty = F.array().cast("array<struct<start:int,end:int,src:string>>")
+
+    def step(state: Column, piece: Column) -> Column:
+        span = F.struct(state["at"].alias("start"), (state["at"] + len(word)).cast("int").alias("end"), F.lit(word).alias("src"))
+        return F.struct(
+            (state["at"] + F.length(piece)).cast("int").alias("at"), F.when(piece.startswith(word), F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans")
+        )
+
+    pieces = F.split(text, f"(?={re.escape(word)})", -1)
+    spans = F.aggregate(pieces, F.struct(F.lit(0).cast("int").alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
+    return F.when(text.contains(word), spans).otherwise(empty)
 
 
 def overlaps(a: Column, b: Column) -> Column:

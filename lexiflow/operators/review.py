@@ -128,9 +128,10 @@ def apply_in_order(queue: DataFrame, lexicon: DataFrame, decisions: DataFrame, *
             else:
                 entry = {k: v for k, v in ids[line["line_no"]].items() if k in (rows[0] if rows else ids[line["line_no"]])}
                 at = next((k for k, r in enumerate(rows) if r["entry_id"] == entry["entry_id"]), None)
-                rows[at:] = [rows[at] | entry, *rows[at + 1 :]] if at is not None else []
                 if at is None:
                     rows.append(entry)
+                else:
+                    rows[at] |= entry
                 result = {"op": "add_or_update_override", "entry_id": entry["entry_id"]}
         elif problem is None and action == "disable_base_entry":
             hit = [r for r in rows if r["tier"] == "base" and r["status"] != "disabled" and (line.get("entry_id") and r["entry_id"] == line["entry_id"] or line.get("src") and r["src"] == line["src"]) and (not line.get("level") or r["level"] == line["level"])]
