@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.functions.normalize import normalize_text
 from lexiflow.operators import rules as rule_ops
+from lexiflow.operators.match import trie_pattern
 from lexiflow.plans.compile import Compiled
 from lexiflow.schema import HIT, MATCH
 
@@ -48,11 +49,13 @@ class Table:
         for src in self.of:
             lengths[src[0]].add(len(src))
         self.lengths = {c: sorted(n) for c, n in lengths.items()}
+        self.scan = re.compile(f"(?={trie_pattern(list(self.of))})") if self.of else None
 
     def found(self, text: str) -> Iterator[tuple[int, int]]:
         """All occurrences, by start, then length."""
-        for start, c in enumerate(text):
-            for n in self.lengths.get(c, ()):
+        for m in self.scan.finditer(text) if self.scan else ():
+            start = m.start()
+            for n in self.lengths[text[start]]:
                 if text[start : start + n] in self.of and start + n <= len(text):
                     yield start, start + n
 
