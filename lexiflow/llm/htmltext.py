@@ -6,7 +6,8 @@ class. A class is part of the host's template if it is large (``MIN_CLASS`` toke
 frequent (at least ``MIN_PAGES`` pages and half of the host's). As tokens carry their paths, classes nest
 by path. What isn't template is slots: the text below template tokens. The main slot is the
 template container that holds most of the host's text outside boilerplate: the outermost
-article or main element with half of it, else the deepest container with nine tenths. A page's text is
+article or main element with half of it, else the deepest container with nine tenths (h1 headlines
+weigh ``HEADLINE`` times, so that an article's headline isn't left outside). A page's text is
 what is in the main slot, without boilerplate elements (menus, headers, footers, sidebars,
 notices, adverts, forms, comments: known by tag, role, and class or id word). A page without
 the host's main slot, or of a host without a template, uses the same choice over its own tokens.
@@ -38,6 +39,7 @@ from lexiflow.llm.urlfilter import host_of
 
 MIN_PAGES, MIN_CLASS = 3, 3
 MAX_HOSTS = 200_000
+HEADLINE = 20
 
 # HTML's element kinds, and words that mark boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,13 +68,13 @@ def _dropped(tag: str, attrs: dict[str, str | None], in_main: bool) -> bool:
 
 
 class Page(HTMLParser):
-    """Nodes in page order (parent, path, depth, kind, dropped, characters), and blocks (node, text).
+    """Nodes in page order (parent, path, depth, kind, dropped, weighted characters), and blocks (node, text).
 
     kind is 2 for article and main, 1 for other containers, else 0. Node 0 is the page."""
 
     def __init__(self, html: str | None):
         super().__init__(convert_charrefs=True)
-        self.parent, self.path, self.depth, self.kind, self.dropped, self.main = [0], [1], [0], [1], [False], [False]
+        self.parent, self.path, self.depth, self.kind, self.dropped, self.main, self.weight = [0], [1], [0], [1], [False], [False], [1]
         self.chars = [0]
         self.stack: list[tuple[str, int]] = [("", 0)]
         self.open: dict[str, int] = {}
@@ -91,7 +93,7 @@ class Page(HTMLParser):
             node = self.block_node
             if text and not self.dropped[node]:
                 self.blocks.append((node, text))
-                self.chars[node] += len(text)
+                self.chars[node] += len(text) * self.weight[node]
 
     def handle_data(self, data: str) -> None:
         if not self.text:
@@ -120,6 +122,7 @@ class Page(HTMLParser):
         self.kind.append(2 if tag in ("article", "main") else int(tag in CONTAINER))
         self.dropped.append(self.dropped[up] or _dropped(tag, given, self.main[up]))
         self.main.append(self.main[up] or tag in ("article", "main"))
+        self.weight.append(HEADLINE if tag == "h1" else self.weight[up])
         self.chars.append(0)
         self.stack.append((tag, len(self.parent) - 1))
         self.open[tag] = self.open.get(tag, 0) + 1
