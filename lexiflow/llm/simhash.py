@@ -17,6 +17,10 @@ Equal fingerprints are one node, however many documents have them. An anchor wit
 of the others, so no task gets an unbounded group. A cell hands on a spanning forest of its
 links, not the pairs. The forests' components come from :mod:`lexiflow.llm.components`.
 
+With ``families`` above 1 a text has more fingerprints, from the same shingle hashes scrambled in
+other ways; documents link if they do in any family, which finds more of the pairs that are
+alike but not as close as the threshold expects. The first family is the one described above.
+
 Null and empty texts have no words and the fingerprint zero, which links like any other.
 Repeated rows come out repeated. A null id is never a component's id unless all of the
 component's ids are null. An empty table gives an empty result. Only the id and text columns
@@ -47,21 +51,35 @@ CHUNK = 4_000_000
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned fingerprint of a text."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     words = (text or "").encode("utf-8").lower().split()  # ASCII letters and ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
     hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
-    return majority(np.array(hashes, np.uint64))
+    return np.array(hashes, np.uint64)
+
+
+def scrambled(hashes: np.ndarray, family: int) -> np.ndarray:
+    """Another hash of the same shingles (a finaliser over the hash and the family); family 0 is the hash."""
+    if not family:
+        return hashes
+    x = hashes ^ np.uint64(family * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return x ^ x >> np.uint64(31)
 
 
 def majority(hashes: np.ndarray) -> int:
-    """Bits that are set in more than half of the hashes."""
+    """Bits that are set in more than half of the hashes; none of no hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192].astype("<u8")
@@ -69,16 +87,18 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, *, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(df: DataFrame, *, id_col: str, text_col: str, shingle: int = SHINGLE, families: int = 1) -> DataFrame:
+    """(id, fp, fp1, ...): the fingerprints' 64 bits as signed longs, one for each family."""
+    names = ["fp", *(f"fp{k}" for k in range(1, families))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
+            hashed = (shingle_hashes(x.as_py(), shingle) for x in batch.column(1))
+            found = np.array([[majority(scrambled(h, k)) for k in range(families)] for h in hashed], np.uint64).reshape(-1, families)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in found.T)], names=[id_col, *names])
 
     shown = df.select(F.col(id_col), F.col(text_col).cast("string"))
-    return shown.mapInArrow(run, f"`{id_col}` {shown.schema[0].dataType.simpleString()}, fp long")
+    return shown.mapInArrow(run, f"`{id_col}` {shown.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
 
 
 def _hamming() -> tuple[np.ndarray, np.ndarray]:
@@ -211,11 +231,25 @@ def links(fps: DataFrame, *, threshold: int = THRESHOLD, cell: int = CELL) -> Da
     return members.select("anchor", "fp", "home", "cell").repartition("anchor", "cell").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, cell: int = CELL) -> DataFrame:
+def family_links(docs: DataFrame, name: str, threshold: int, cell: int) -> DataFrame:
+    """Links in another family as edges (a, b) of first fingerprints. Each value of the family
+    stands for the smallest first fingerprint that has it; the others that have it link to that one."""
+    both = docs.select("fp", F.col(name).alias("_v")).distinct()
+    least = cut(both.groupBy("_v").agg(F.min("fp").alias("_node")))
+    same = both.join(least, "_v").where("fp <> _node").select(F.col("fp").alias("a"), F.col("_node").alias("b"))
+    near = cut(links(least.select(F.col("_v").alias("fp")), threshold=threshold, cell=cell))
+    to_a, to_b = least.select(F.col("_v").alias("a"), F.col("_node").alias("_a")), least.select(F.col("_v").alias("b"), F.col("_node").alias("_b"))
+    return cut(near.join(to_a, "a").join(to_b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).unionByName(same))
+
+
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, cell: int = CELL, families: int = 1) -> DataFrame:
     """(id, fp, component_id) of every row; component_id is the smallest id of its component."""
-    docs = cut(fingerprints(df, id_col=id_col, text_col=text_col, shingle=shingle))
+    docs = cut(fingerprints(df, id_col=id_col, text_col=text_col, shingle=shingle, families=families))
     nodes = cut(docs.groupBy("fp").agg(F.min(id_col).alias("_first")))
-    roots = components(links(nodes, threshold=threshold, cell=cell))
+    edges = links(nodes, threshold=threshold, cell=cell)
+    for k in range(1, families):
+        edges = edges.unionByName(family_links(docs, f"fp{k}", threshold, cell))
+    roots = components(edges)
     member = roots.join(nodes.select(F.col("fp").alias("node"), "_first"), "node")
     least = cut(member.groupBy("root").agg(F.min("_first").alias("component_id")))
     named = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
@@ -224,10 +258,10 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return docs.join(of, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, families: int = 1) -> DataFrame:
     """The rows of df that have their component's id, with all their columns: one document of each
     group stays. Rows without an id stay only if no document of their group has one."""
-    groups = near_duplicates(df, id_col=id_col, text_col=text_col, shingle=shingle, threshold=threshold)
+    groups = near_duplicates(df, id_col=id_col, text_col=text_col, shingle=shingle, threshold=threshold, families=families)
     firsts = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays")).distinct()
     return df.join(firsts, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
 
