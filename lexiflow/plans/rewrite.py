@@ -15,6 +15,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -183,8 +184,13 @@ class Runtime:
         longest = {}
         for start, end in self.terms.found(text):
             longest[start] = end
-        phrases = list(self.all_phrases.found(text)) if heed_phrases and longest else []
-        crossed = lambda a, b: any(s < b and a < e and not (a <= s and e <= b) for s, e in phrases)
+        # a phrase overlaps a span without lying in it exactly if it goes across one of the span's edges
+        across = [0] * (len(text) + 2)
+        for start, end in self.all_phrases.found(text) if heed_phrases and longest else ():
+            across[start + 1] += 1
+            across[end] -= 1
+        across = list(accumulate(across))
+        crossed = lambda a, b: across[a] > 0 or across[b] > 0
         out, at = [], 0
         for start, end in sorted(longest.items()):
             if start >= at and (end - start == len(text) or not crossed(start, end)):
