@@ -17,9 +17,8 @@ Equal fingerprints are one node, however many documents have them. An anchor wit
 of the others, so no task gets an unbounded group. A cell hands on a spanning forest of its
 links, not the pairs. The forests' components come from :mod:`lexiflow.llm.components`.
 
-With ``families`` above 1 a text has more fingerprints, from the same shingle hashes scrambled in
-other ways; documents link if they do in any family, which finds more of the pairs that are
-alike but not as close as the threshold expects. The first family is the one described above.
+Pairs of a given similarity over their shingles, which differ in more bits than this covers for
+certain, are the matter of :mod:`lexiflow.llm.similar`, which meets at the same anchors.
 
 Null and empty texts have no words and the fingerprint zero, which links like any other.
 Repeated rows come out repeated. A null id is never a component's id unless all of the
@@ -68,16 +67,6 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array(hashes, np.uint64)
 
 
-def scrambled(hashes: np.ndarray, family: int) -> np.ndarray:
-    """Another hash of the same shingles (a finaliser over the hash and the family); family 0 is the hash."""
-    if not family:
-        return hashes
-    x = hashes ^ np.uint64(family * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
-    return x ^ x >> np.uint64(31)
-
-
 def majority(hashes: np.ndarray) -> int:
     """Bits that are set in more than half of the hashes; none of no hashes."""
     counts = np.zeros(64, np.int64)
@@ -87,18 +76,16 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, *, id_col: str, text_col: str, shingle: int = SHINGLE, families: int = 1) -> DataFrame:
-    """(id, fp, fp1, ...): the fingerprints' 64 bits as signed longs, one for each family."""
-    names = ["fp", *(f"fp{k}" for k in range(1, families))]
+def fingerprints(df: DataFrame, *, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
+    """(id, fp): the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashed = (shingle_hashes(x.as_py(), shingle) for x in batch.column(1))
-            found = np.array([[majority(scrambled(h, k)) for k in range(families)] for h in hashed], np.uint64).reshape(-1, families)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in found.T)], names=[id_col, *names])
+            found = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 
     shown = df.select(F.col(id_col), F.col(text_col).cast("string"))
-    return shown.mapInArrow(run, f"`{id_col}` {shown.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
+    return shown.mapInArrow(run, f"`{id_col}` {shown.schema[0].dataType.simpleString()}, fp long")
 
 
 def _hamming() -> tuple[np.ndarray, np.ndarray]:
@@ -149,20 +136,21 @@ def replicate(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
 
 
-def deal(members: DataFrame, cell: int) -> DataFrame:
+def deal(members: DataFrame, cell: int, key: str = "fp") -> DataFrame:
     """Add the cell of each member: 0 for anchors of at most ``cell`` members; larger ones get a
     grid of parts x parts, with home members in their row and the others in their column."""
     hot = cut(members.groupBy("anchor").count().where(F.col("count") > cell).select("anchor", F.ceil(F.col("count") / cell).cast("int").alias("parts")))
     if (n := hot.count()) == 0:
         return members.withColumn("cell", F.lit(0))
     parted = members.join(F.broadcast(hot) if n <= 100_000 else hot, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    mine = F.pmod(F.xxhash64(key), F.col("parts")).cast("int")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     row = F.transform(every, lambda j: F.struct((mine * F.col("parts") + j).alias("cell"), F.lit(True).alias("home")))
     column = F.transform(every, lambda i: F.struct((i * F.col("parts") + mine).alias("cell"), F.lit(False).alias("home")))
     # a home member is a member, too: it also stands in its column
     cells = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("cell"), F.col("home")))).when(F.col("home"), F.concat(row, column)).otherwise(column)
-    return parted.select("anchor", "fp", F.explode(cells).alias("_c")).select("anchor", "fp", "_c.home", "_c.cell")
+    kept = [c for c in members.columns if c != "home"]
+    return parted.select(*kept, F.explode(cells).alias("_c")).select(*kept, "_c.home", "_c.cell")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,23 +172,30 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
-def links_in(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links that home members have with members of the same anchor."""
+def meetings(anchor: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places, each a home member with a member of the same anchor, in stretches of about CHUNK."""
     order = np.argsort(anchor, kind="stable")
-    anchor, fp, home = anchor[order], fp[order], home[order]
+    anchor = anchor[order]
     starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     sizes = np.diff(np.append(starts, len(anchor)))
     group = np.repeat(np.arange(len(starts)), sizes)
-    rows = np.flatnonzero(home)
+    rows = np.flatnonzero(home[order])
     rows = rows[sizes[group[rows]] > 1]
-    todo = np.cumsum(sizes[group[rows]])
-    a, b, held, lo = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], 0, 0
+    todo, lo = np.cumsum(sizes[group[rows]]), 0
     while lo < len(rows):
         hi = max(lo + 1, int(np.searchsorted(todo, (todo[lo - 1] if lo else 0) + CHUNK, "right")))
         part = rows[lo:hi]
         n = sizes[group[part]]
         first = np.repeat(starts[group[part]] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-        x, y = fp[np.repeat(part, n)], fp[first + np.arange(n.sum())]
+        yield order[np.repeat(part, n)], order[first + np.arange(n.sum())]
+        lo = hi
+
+
+def links_in(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links that home members have with members of the same anchor."""
+    a, b, held = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], 0
+    for i, j in meetings(anchor, home):
+        x, y = fp[i], fp[j]
         near = np.bitwise_count(x ^ y) <= threshold
         near &= x != y
         a.append(x[near])
@@ -209,10 +204,15 @@ def links_in(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: in
         if held > CHUNK:
             a, b = ([z] for z in forest(np.concatenate(a), np.concatenate(b)))
             held = len(a[0])
-        lo = hi
     return forest(np.concatenate(a), np.concatenate(b))
 
 
+def group_keys(got: pa.Table) -> np.ndarray:
+    """One number for each (anchor, cell) of the table."""
+    anchor, where = (got[c].to_numpy() for c in ("anchor", "cell"))
+    return np.unique(np.stack((anchor, where.astype(np.int64))), axis=1, return_inverse=True)[1] if where.any() else anchor
+
+
 def links(fps: DataFrame, *, threshold: int = THRESHOLD, cell: int = CELL) -> DataFrame:
     """Distinct fingerprints (fp) -> edges (a, b) whose components are those of all links."""
     if threshold // len(BLOCKS) > 1:
@@ -222,34 +222,18 @@ def links(fps: DataFrame, *, threshold: int = THRESHOLD, cell: int = CELL) -> Da
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held := [x for x in batches if x.num_rows]:
             got = pa.Table.from_batches(held)
-            anchor, where = (got[c].to_numpy() for c in ("anchor", "cell"))
-            _, key = np.unique(np.stack((anchor, where.astype(np.int64))), axis=1, return_inverse=True) if where.any() else (None, anchor)
-            a, b = links_in(key, got["fp"].to_numpy().view(np.uint64), got["home"].to_numpy(), threshold)
+            a, b = links_in(group_keys(got), got["fp"].to_numpy().view(np.uint64), got["home"].to_numpy(), threshold)
             for lo in range(0, len(a), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(z[lo : lo + 100_000].view(np.int64)) for z in (a, b)], names=["a", "b"])
 
     return members.select("anchor", "fp", "home", "cell").repartition("anchor", "cell").mapInArrow(compare, "a long, b long")
 
 
-def family_links(docs: DataFrame, name: str, threshold: int, cell: int) -> DataFrame:
-    """Links in another family as edges (a, b) of first fingerprints. Each value of the family
-    stands for the smallest first fingerprint that has it; the others that have it link to that one."""
-    both = docs.select("fp", F.col(name).alias("_v")).distinct()
-    least = cut(both.groupBy("_v").agg(F.min("fp").alias("_node")))
-    same = both.join(least, "_v").where("fp <> _node").select(F.col("fp").alias("a"), F.col("_node").alias("b"))
-    near = cut(links(least.select(F.col("_v").alias("fp")), threshold=threshold, cell=cell))
-    to_a, to_b = least.select(F.col("_v").alias("a"), F.col("_node").alias("_a")), least.select(F.col("_v").alias("b"), F.col("_node").alias("_b"))
-    return cut(near.join(to_a, "a").join(to_b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).unionByName(same))
-
-
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, cell: int = CELL, families: int = 1) -> DataFrame:
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, cell: int = CELL) -> DataFrame:
     """(id, fp, component_id) of every row; component_id is the smallest id of its component."""
-    docs = cut(fingerprints(df, id_col=id_col, text_col=text_col, shingle=shingle, families=families))
+    docs = cut(fingerprints(df, id_col=id_col, text_col=text_col, shingle=shingle))
     nodes = cut(docs.groupBy("fp").agg(F.min(id_col).alias("_first")))
-    edges = links(nodes, threshold=threshold, cell=cell)
-    for k in range(1, families):
-        edges = edges.unionByName(family_links(docs, f"fp{k}", threshold, cell))
-    roots = components(edges)
+    roots = components(links(nodes, threshold=threshold, cell=cell))
     member = roots.join(nodes.select(F.col("fp").alias("node"), "_first"), "node")
     least = cut(member.groupBy("root").agg(F.min("_first").alias("component_id")))
     named = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
@@ -258,13 +242,5 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return docs.join(of, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, families: int = 1) -> DataFrame:
-    """The rows of df that have their component's id, with all their columns: one document of each
-    group stays. Rows without an id stay only if no document of their group has one."""
-    groups = near_duplicates(df, id_col=id_col, text_col=text_col, shingle=shingle, threshold=threshold, families=families)
-    firsts = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays")).distinct()
-    return df.join(firsts, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
-
-
 def fingerprint_hex(fp) -> object:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
