@@ -28,6 +28,7 @@ are read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,6 +89,7 @@ def fingerprints(df: DataFrame, *, id_col: str, text_col: str, shingle: int = SH
     return shown.mapInArrow(run, f"`{id_col}` {shown.schema[0].dataType.simpleString()}, fp long")
 
 
+@functools.cache
 def _hamming() -> tuple[np.ndarray, np.ndarray]:
     """For each 15-bit word: its nearest codeword, and the seven others at distance 2 (those of a
     codeword, which has none, are itself)."""
@@ -105,6 +107,16 @@ def _hamming() -> tuple[np.ndarray, np.ndarray]:
     return home, others
 
 
+def homes(fps: np.ndarray) -> np.ndarray:
+    """The home anchors of each fingerprint, a row for each block."""
+    home, _ = _hamming()
+    out = []
+    for k, (shift, width) in enumerate(BLOCKS):
+        block = (fps >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.int64)
+        out.append(home[block & (1 << CODED) - 1] | block >> CODED << CODED | k << 32)
+    return np.stack(out)
+
+
 def replicas(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, index into fps, is home) of every anchor that a fingerprint goes to."""
     home, others = _hamming()
