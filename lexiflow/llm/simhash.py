@@ -184,8 +184,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
-def meetings(anchor: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places, each a home member with a member of the same anchor, in stretches of about CHUNK."""
+def meetings(anchor: np.ndarray, home: np.ndarray, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places, each a home member with a member of the same anchor, in stretches of about ``chunk``."""
     order = np.argsort(anchor, kind="stable")
     anchor = anchor[order]
     starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
@@ -195,7 +195,7 @@ def meetings(anchor: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray,
     rows = rows[sizes[group[rows]] > 1]
     todo, lo = np.cumsum(sizes[group[rows]]), 0
     while lo < len(rows):
-        hi = max(lo + 1, int(np.searchsorted(todo, (todo[lo - 1] if lo else 0) + CHUNK, "right")))
+        hi = max(lo + 1, int(np.searchsorted(todo, (todo[lo - 1] if lo else 0) + chunk, "right")))
         part = rows[lo:hi]
         n = sizes[group[part]]
         first = np.repeat(starts[group[part]] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
