@@ -77,6 +77,11 @@ def find_contamination(
     docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM
 ) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs."""
+    return judged(docs, items, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, window=window, gram=gram).drop("_key")
+
+
+def judged(docs: DataFrame, items: DataFrame, *, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """:func:`find_contamination` with _key, the hash of the row's text."""
     windows = cut(benchmark_windows(items, id_col=item_col, text_col=item_text_col, window=window))
     sizes = sorted(r.size for r in windows.select(F.col("size")).distinct().collect())  # at most ``window`` numbers
     text = F.col(text_col).cast("string")
@@ -97,7 +102,7 @@ def find_contamination(
     counted = keyed.withColumn("n_words", count_words(F.col("_text"))).drop("_text")
     if hits is None:
         zero = F.lit(0).cast("long")
-        return counted.select(id_col, "n_words", zero.alias("n_hit"), zero.alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return counted.select(id_col, "_key", "n_words", zero.alias("n_hit"), zero.alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
     per_doc = cut(
         hits.groupBy("_id", "_key")
         .agg(F.collect_set("_hit").alias("_hits"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
@@ -105,6 +110,7 @@ def find_contamination(
     )
     return counted.join(per_doc, ["_id", "_key"], "left").select(
         id_col,
+        "_key",
         "n_words",
         F.coalesce("_n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("_n_items", F.lit(0).cast("long")).alias("n_items"),
@@ -113,8 +119,7 @@ def find_contamination(
     )
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **more) -> DataFrame:
-    """The rows of docs without a hit, with all their columns. Rows without an id and rows that share
-    one are judged together by id."""
-    hit = find_contamination(docs, items, id_col=id_col, **more).where("contaminated").select(F.col(id_col).alias("_goes")).distinct()
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_goes")), "left_anti")
+def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """The rows of docs without a hit, with all their columns. Each row is judged by its own id and text."""
+    hit = judged(docs, items, id_col=id_col, text_col=text_col, **more).where("contaminated").select(F.col(id_col).alias("_goes"), F.col("_key").alias("_gone")).distinct()
+    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_goes")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_gone")), "left_anti")

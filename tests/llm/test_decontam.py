@@ -71,3 +71,12 @@ def test_equal_windows_have_equal_fingerprints(spark):
     df = spark.createDataFrame(rows, "i int, a array<string>, b array<string>")
     f = lambda c: decontam.fingerprints(F.col(c), 10, 5)
     assert df.select(F.forall(f("a"), lambda x: F.array_contains(f("b"), x)).alias("ok")).where("not ok").count() == 0
+
+
+def test_clean_rows_without_an_id_or_with_a_shared_one_stay(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    docs = [(None, "clean"), (None, "x " + item), (None, None), (7, "clean too"), (7, item), (8, item.upper()), (9, "clean")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as _key", "2 as n_hit")
+    kept = decontam.keep_clean(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted((docs[k] for k in (0, 2, 3, 6)), key=str)
