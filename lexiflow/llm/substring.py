@@ -16,7 +16,7 @@ hold all that decided it. Every window has an anchor in its inside, as starts ar
 apart; the anchor with the smallest name stands for the window (the leftmost of equals). It
 depends on the window's words alone, so equal windows share its name: shared names reveal
 repeats, and only windows under one name are verified against each other, by a hash of all 13 words
-(64 bits of name and 32 of window).
+(63 bits of name and 64 of window).
 
 Cost: one row for each task's batch and bucket holds packed anchors, about 0.3 anchors a word. Within a
 batch, repeats of a window are settled on the spot: only the smallest document's occurrence is
@@ -183,7 +183,7 @@ def send(df: DataFrame, buckets: int, batch_words: int) -> DataFrame:
         base = np.cumsum(lengths) - lengths
         text = np.searchsorted(base, start, "right") - 1
         row, k = _expand(n)
-        held = window[start[row] + k].astype("<u4")
+        held = window[start[row] + k].astype("<u8")
         doc, key = np.array(docs, np.int64), np.array(keys, np.int64).view(U)
         known = settle(name[row], doc[text[row]], held)
         r, a, m = _runs(row, k, known)
@@ -236,7 +236,7 @@ def answer(sent: DataFrame, parts: int) -> DataFrame:
             for a, w in zip(batch.column(1), batch.column(2)):
                 if a.is_valid:
                     packed.append(np.frombuffer(a.as_buffer(), ANCHOR).copy())
-                    windows.append(np.frombuffer(w.as_buffer(), "<u4").copy())
+                    windows.append(np.frombuffer(w.as_buffer(), "<u8").copy())
         if not packed:
             return
         found, held = np.concatenate(packed), np.concatenate(windows)

@@ -3,6 +3,9 @@
 import hashlib
 import random
 
+import numpy as np
+import xxhash
+
 from lexiflow.llm import substring
 
 
@@ -52,3 +55,22 @@ def test_edge_cases(spark):
     rows = [(2, None), (1, ""), (3, "a b"), (4, long), (9, long + " end"), (4, long), (5, "é à " * 30), (6, "é à " * 30), (8, "w " * 13), (7, "w " * 12)]
     assert run(spark, rows) == slow(rows)
     assert substring.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_windows_of_one_name_whose_hashes_agree_in_32_bits(spark):
+    rng, n = np.random.default_rng(5), 400_000
+    pool = [f"w{k}" for k in range(1000)]
+    hashes = np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in pool], np.uint64)
+    for _ in range(40):
+        picks = rng.integers(0, len(pool), (n, 13))
+        picks[:, 2:10] = picks[0, 2:10]
+        name, _, _, window = substring.anchors(hashes[picks].ravel(), np.full(n, 13))
+        low = window[::13] & np.uint64(0xFFFFFFFF)
+        order = np.lexsort((low, name))
+        same = np.flatnonzero((name[order][1:] == name[order][:-1]) & (low[order][1:] == low[order][:-1]))
+        if len(same):
+            break
+    rows = [(d, " ".join(pool[k] for k in picks[order[same[0] + d]])) for d in (0, 1)]
+    assert rows[0][1] != rows[1][1]
+    assert run(spark, rows) == slow(rows)
+    assert run(spark, rows, batch_words=1) == slow(rows)
