@@ -134,10 +134,7 @@ def hash_of(text: str) -> int:
 
 
 def _powers(n: int) -> np.ndarray:
-    out = np.ones(n + 1, np.uint64)
-    for k in range(n):
-        out[k + 1] = out[k] * BASE
-    return out
+    return np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, BASE))))
 
 
 def _matrix(words: list[str]) -> np.ndarray:
@@ -318,6 +315,12 @@ class Encoder:
         return text[1:] if text[:1] == " " else text
 
 
+@lru_cache(maxsize=2)
+def encoder_of(data: bytes) -> Encoder:
+    """The worker's encoder: the words that it knows serve all tasks which the worker runs."""
+    return Encoder(load(data))
+
+
 def read_model(path: str) -> bytes:
     """A model file that the driver can open."""
     with open(path, "rb") as f:
@@ -334,7 +337,7 @@ def encode(df: DataFrame, model_data: bytes, *, id_col: str = "doc_id", text_col
     held = df.sparkSession.sparkContext.broadcast(model_data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load(held.value))
+        encoder = encoder_of(held.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
@@ -356,7 +359,7 @@ def decode(df: DataFrame, model_data: bytes, *, id_col: str = "doc_id", ids_col:
     held = df.sparkSession.sparkContext.broadcast(model_data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load(held.value))
+        encoder = encoder_of(held.value)
         for batch in batches:
             texts = [encoder.decode(np.array(x.as_py(), np.int64)) if x.is_valid else None for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
