@@ -37,13 +37,9 @@ RECORD = "record_type string, record_id string, concurrent_to string, refers_to
 def base32_sha1(data: Column) -> Column:
     """Upper-case base32 of the SHA-1; 160 bits are 32 letters, without padding."""
     hexed = F.sha1(data)
-
-    def letter(i: Column) -> Column:
-        chunk = F.conv(F.substring(hexed, F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        shifted = F.call_function("shiftright", chunk, (F.lit(15) - F.pmod(i, F.lit(4)) * 5).cast("int"))
-        return F.substring(F.lit(BASE32), shifted.bitwiseAND(F.lit(31)) + 1, F.lit(1))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+    # ten hexadecimal digits are 40 bits, eight letters; conv() writes base 32 with 0-9 and A-V
+    parts = [F.lpad(F.conv(F.substring(hexed, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def _record(kind: str, record_id: Column, headers: list[tuple[str, Column]], block: Column) -> Column:
