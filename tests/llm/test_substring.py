@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from lexiflow.llm import substring
@@ -57,20 +58,26 @@ def test_edge_cases(spark):
     assert substring.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_windows_of_one_name_whose_hashes_agree_in_32_bits(spark):
-    rng, n = np.random.default_rng(5), 400_000
-    pool = [f"w{k}" for k in range(1000)]
-    hashes = np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in pool], np.uint64)
-    for _ in range(40):
-        picks = rng.integers(0, len(pool), (n, 13))
-        picks[:, 2:10] = picks[0, 2:10]
-        name, _, _, window = substring.anchors(hashes[picks].ravel(), np.full(n, 13))
-        low = window[::13] & np.uint64(0xFFFFFFFF)
-        order = np.lexsort((low, name))
-        same = np.flatnonzero((name[order][1:] == name[order][:-1]) & (low[order][1:] == low[order][:-1]))
-        if len(same):
-            break
-    rows = [(d, " ".join(pool[k] for k in picks[order[same[0] + d]])) for d in (0, 1)]
-    assert rows[0][1] != rows[1][1]
-    assert run(spark, rows) == slow(rows)
-    assert run(spark, rows, batch_words=1) == slow(rows)
+def test_symbols_begin_by_the_six_words_around(spark):
+    for seed, letters in ((1, 2), (2, 3), (3, 30)):
+        words = np.random.default_rng(seed).integers(0, letters, 3000)
+        hashes = np.array([xxhash.xxh3_64_intdigest(b"%d" % w) for w in words], np.uint64)
+        starts = substring.symbol_starts(hashes)
+        assert 0 < starts.sum() < len(starts)
+        for i in range(3, len(words) - 3):
+            assert substring.symbol_starts(hashes[i - 3 : i + 3])[3] == starts[i]
+
+
+def test_windows_that_share_twelve_words_are_told_apart(spark):
+    n = 600_000
+    same = " ".join(f"w{k}" for k in range(12))
+    df = spark.range(n).selectExpr("id as doc_id", f"concat('{same} ', hex(id)) as text")
+    got = substring.remove_repeats(df, with_text=False).selectExpr("sum(n_removed) as removed", "count(*) as n").first()
+    assert tuple(got) == (0, n)
+    again = df.unionByName(df.where("doc_id = 77").selectExpr("1000000L as doc_id", "text"))
+    assert [tuple(r) for r in substring.remove_repeats(again, with_text=False).where("n_removed > 0").select("doc_id", "n_removed").collect()] == [(1_000_000, 13)]
+
+
+def test_ids_are_integers(spark):
+    with pytest.raises(TypeError):
+        substring.remove_repeats(spark.createDataFrame([("x", "a")], "doc_id string, text string"))
