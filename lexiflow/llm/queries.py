@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiflow.llm import decontam, htmltext, media, quality, secrets, sentencepiece_batch, simhash, substring, urlfilter, warc
-from lexiflow.llm.common import fresh_path, table
+from lexiflow.llm.common import cut, fresh_path, table
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -33,7 +33,8 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc.captured(warc.assemble(warc.read_archive(spark, path, with_payload=False)))
+    # four sides of the joins come from the records, which without payloads are small: parsed once
+    return warc.captured(warc.assemble(cut(warc.read_archive(spark, path, with_payload=False))))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
