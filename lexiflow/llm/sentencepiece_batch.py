@@ -45,6 +45,7 @@ MAX_MODEL_BYTES = 64 << 20
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNKNOWN_PENALTY = 10.0
+NEVER = np.iinfo(np.int32).max
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -109,6 +110,34 @@ class Model:
         self.lowest = self.scores.min() - UNKNOWN_PENALTY
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == 3 else p.replace(MARK, " ").encode("utf-8") for p, _, t in pieces]
         self.raw[self.unknown] = " ⁇ ".encode()
+        if self.kind == BPE:
+            self._tabulate()
+
+    def _tabulate(self) -> None:
+        """The symbols of single characters, and what pairs of symbols merge to.
+
+        A symbol is a piece's id; characters that only occur within longer pieces get numbers beyond those, and
+        characters of no piece negative ones. Ranks follow the scores, the best first."""
+        symbol = {p: i for p, (_, i) in self.by_text.items()}
+        self.inner = sorted({c for p in self.by_text for c in p} - symbol.keys())
+        symbol |= {c: len(self.pieces) + k for k, c in enumerate(self.inner)}
+        self.symbols = len(self.pieces) + len(self.inner)
+        self.of_char = -1 - np.arange(0x110000)
+        for p, i in symbol.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = i
+        rank = {score: k for k, score in enumerate(sorted({s for s, _ in self.by_text.values()}, reverse=True))}
+        made = [(symbol[p[:k]] * self.symbols + symbol[p[k:]], rank[s], i) for p, (s, i) in self.by_text.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol]
+        pairs = np.array(sorted(made), np.int64).reshape(-1, 3)
+        # a last key that no pair has
+        self.pair_keys = np.append(pairs[:, 0], np.iinfo(np.int64).max)
+        self.pair_ranks, self.pair_ids = (np.append(pairs[:, c], -1).astype(np.int32) for c in (1, 2))
+
+    def merges(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, symbol) of pairs of symbols; NEVER where they don't merge."""
+        keys = np.where((left < 0) | (right < 0), -1, left * self.symbols + right)  # -1 is no pair's
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NEVER), self.pair_ids[at]
 
     def probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(score, id) of substrings by hash; -inf and -1 where no piece has it."""
@@ -116,6 +145,13 @@ class Model:
         hit = self.keys[at] == hashes
         return np.where(hit, self.scores[at], -np.inf), np.where(hit, self.ids[at], -1)
 
+    def ids_of(self, symbols: list[int]) -> list[int]:
+        """Ids of symbols of which some aren't pieces."""
+        out: list[int] = []
+        for x in symbols:
+            out += [x] if 0 <= x < len(self.pieces) else self.spelled(chr(-1 - x) if x < 0 else self.inner[x - len(self.pieces)])
+        return _one_unknown(self, out)
+
     def spelled(self, char: str) -> list[int]:
         """Ids of a character without a piece."""
         return [self.bytes[b] for b in char.encode("utf-8")] if self.bytes else [self.unknown]
@@ -182,52 +218,48 @@ def _one_unknown(model: Model, ids: list[int]) -> list[int]:
     return [x for k, x in enumerate(ids) if x != model.unknown or not k or ids[k - 1] != x]
 
 
-def _merge(model: Model, words: list[str]) -> list[list[int]]:
-    codes = _matrix(words)
-    n, size = codes.shape
-    power = _powers(size)
-    hashes = codes.astype(np.uint64) + np.uint64(1)
-    lengths = np.ones((n, size), np.int64)
-    pair = lambda h, m, j, rows: model.probe(h[rows, j] * power[m[rows, j + 1]] + h[rows, j + 1])[0]
-    scores = model.probe(hashes[:, :-1] * power[1] + hashes[:, 1:])[0]
-    rows = np.arange(n)
-    out: list[list[int]] = [[] for _ in words]
-
-    def finish(done: np.ndarray) -> None:
-        ids = model.probe(hashes[done])[1]
-        for row, found, spans in zip(rows[done].tolist(), ids.tolist(), lengths[done].tolist()):
-            if -1 not in found:
-                out[row] = found
-                continue
-            at, word = 0, words[row]
-            for x, span in zip(found, spans):
-                out[row].extend([x] if x >= 0 else model.spelled(word[at : at + span]))
-                at += span
-
+def _merge(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words in turn, number of each word's ids)."""
+    symbols = model.of_char[_matrix(words)]
+    scores, to = model.merges(symbols[:, :-1], symbols[:, 1:])
+    rows, n_ids = np.arange(len(words)), np.zeros(len(words), np.int64)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
     while len(rows):
-        width = hashes.shape[1]
-        j = scores.argmax(axis=1) if width > 1 else None
-        going = scores[np.arange(len(rows)), j] > -np.inf if width > 1 else np.zeros(len(rows), bool)
+        width = symbols.shape[1]
+        r = np.arange(len(rows))
+        j = scores.argmin(axis=1) if width > 1 else r * 0
+        going = scores[r, j] < NEVER if width > 1 else np.zeros(len(rows), bool)
         if not going.all():
-            finish(~going)
-            rows, hashes, lengths, scores = rows[going], hashes[going], lengths[going], scores[going]
+            done.append((rows[~going], symbols[~going]))
+            n_ids[rows[~going]] = width
+            rows, symbols, scores, to, j = rows[going], symbols[going], scores[going], to[going], j[going]
             if not len(rows):
                 break
-            j = j[going]
-        r = np.arange(len(rows))
-        hashes[r, j] = hashes[r, j] * power[lengths[r, j + 1]] + hashes[r, j + 1]
-        lengths[r, j] += lengths[r, j + 1]
-        keep = np.ones(hashes.shape, bool)
+            r = np.arange(len(rows))
+        symbols[r, j] = to[r, j]
+        keep = np.ones(symbols.shape, bool)
         keep[r, j + 1] = False
-        hashes, lengths = hashes[keep].reshape(len(r), -1), lengths[keep].reshape(len(r), -1)
+        symbols = symbols[keep].reshape(len(r), -1)
         keep = np.ones(scores.shape, bool)
         keep[r, j] = False
-        scores = scores[keep].reshape(len(r), -1)
-        if scores.shape[1]:
-            left, right = r[j > 0], r[j < hashes.shape[1] - 1]
-            scores[left, j[left] - 1] = pair(hashes, lengths, j[left] - 1, left)
-            scores[right, j[right]] = pair(hashes, lengths, j[right], right)
-    return [_one_unknown(model, ids) for ids in out]
+        scores, to = scores[keep].reshape(len(r), -1), to[keep].reshape(len(r), -1)
+        for k, side in ((j - 1, j > 0), (j, j < symbols.shape[1] - 1)):
+            x, k = r[side], k[side]
+            scores[x, k], to[x, k] = model.merges(symbols[x, k], symbols[x, k + 1])
+    odd = {}
+    for at, found in done:  # words with characters that no piece is
+        places = np.flatnonzero(((found < 0) | (found >= len(model.pieces))).any(axis=1))
+        for row, left in zip(at[places].tolist(), found[places].tolist()):
+            odd[row] = model.ids_of(left)
+            n_ids[row] = len(odd[row])
+    start = np.cumsum(n_ids) - n_ids
+    out = np.empty(n_ids.sum(), np.int32)
+    for at, found in done:
+        usual = np.array([row not in odd for row in at.tolist()], bool) if odd else slice(None)
+        out[start[at[usual]][:, None] + np.arange(found.shape[1])] = found[usual]
+    for row, ids in odd.items():
+        out[start[row] : start[row] + len(ids)] = ids
+    return out, n_ids
 
 
 def _merge_long(model: Model, word: str) -> list[int]:
@@ -259,20 +291,23 @@ def _merge_long(model: Model, word: str) -> list[int]:
     return _one_unknown(model, out)
 
 
-def encode_words(model: Model, words: Iterable[str]) -> dict[str, list[int]]:
-    """Ids of distinct words."""
-    out, sized = {}, {}
+def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(x) for x in found], np.int64)
+    return np.array([i for x in found for i in x], np.int32), sizes
+
+
+def encode_words(model: Model, words: Iterable[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Distinct words in parts: (words, their ids in turn, number of each word's ids)."""
+    sized: dict[int, list[str]] = {}
     for w in words:
-        if len(w) > LONG and model.kind == BPE:
-            out[w] = _merge_long(model, w)
-        else:
-            sized.setdefault(len(w), []).append(w)
+        sized.setdefault(0 if len(w) > LONG and model.kind == BPE else len(w), []).append(w)
+    if long := sized.pop(0, None):
+        yield long, *_flat([_merge_long(model, w) for w in long])
     for size, same in sized.items():
         step = max(1, 200_000 // size)  # bounds the matrices
         for lo in range(0, len(same), step):
             part = same[lo : lo + step]
-            out |= zip(part, (_viterbi if model.kind == UNIGRAM else _merge)(model, part))
-    return out
+            yield part, *(_flat(_viterbi(model, part)) if model.kind == UNIGRAM else _merge(model, part))
 
 
 class Encoder:
@@ -290,12 +325,13 @@ class Encoder:
         fresh = [w for w in words if w not in self.place]
         if not fresh:
             return
-        found = encode_words(self.model, fresh)
-        sizes = np.array([len(found[w]) for w in fresh], np.int64)
-        starts = len(self.ids) + np.cumsum(sizes) - sizes
-        self.place |= zip(fresh, range(len(self.start), len(self.start) + len(fresh)))
-        self.ids = np.concatenate([self.ids, np.array([i for w in fresh for i in found[w]], np.int32)])
-        self.start, self.size = np.concatenate((self.start, starts)), np.concatenate((self.size, sizes))
+        ids, sizes = [self.ids], [self.size]
+        for part, found, n in encode_words(self.model, fresh):
+            self.place |= zip(part, range(len(self.place), len(self.place) + len(part)))
+            ids.append(found)
+            sizes.append(n)
+        self.ids, self.size = np.concatenate(ids), np.concatenate(sizes)
+        self.start = np.cumsum(self.size) - self.size
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
