@@ -36,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiflow.llm.common import few_at_a_time
+
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LONG = 64
-KNOWN = 200_000
+KNOWN = 500_000
 MAX_MODEL_BYTES = 64 << 20
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -310,6 +312,13 @@ def encode_words(model: Model, words: Iterable[str]) -> Iterator[tuple[list[str]
             yield part, *(_flat(_viterbi(model, part)) if model.kind == UNIGRAM else _merge(model, part))
 
 
+def words_of(text: str) -> list[str]:
+    """A text's words, each without its first mark, which all have."""
+    if "  " not in text and MARK not in text and text.strip(" ") == text:
+        return text.split(" ") if text else []
+    return [w[1:] for w in WORD.findall(MARK + text.replace(" ", MARK))]
+
+
 class Encoder:
     """Encodes texts and remembers up to ``KNOWN`` words, as places in one array of ids."""
 
@@ -322,19 +331,19 @@ class Encoder:
         self.ids, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def learn(self, words: set[str]) -> None:
-        fresh = [w for w in words if w not in self.place]
+        fresh = [MARK + w for w in words if w not in self.place]
         if not fresh:
             return
         ids, sizes = [self.ids], [self.size]
         for part, found, n in encode_words(self.model, fresh):
-            self.place |= zip(part, range(len(self.place), len(self.place) + len(part)))
+            self.place |= zip([w[1:] for w in part], range(len(self.place), len(self.place) + len(part)))
             ids.append(found)
             sizes.append(n)
         self.ids, self.size = np.concatenate(ids), np.concatenate(sizes)
         self.start = np.cumsum(self.size) - self.size
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        split = [words_of(t) for t in texts]
         if len(self.place) > KNOWN:
             self.forget()
         self.learn(set().union(*split))
@@ -386,7 +395,7 @@ def encode(df: DataFrame, model_data: bytes, *, id_col: str = "doc_id", text_col
                     [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(np.diff(offsets).astype(np.int64)), ids, pa.array(lossless)], names=[id_col, "n_chars", "n_tokens", "ids", "lossless"]
                 )
 
-    return shown.mapInArrow(run, f"`{id_col}` {shown.schema[0].dataType.simpleString()}, n_chars long, n_tokens long, ids array<int>, lossless boolean")
+    return few_at_a_time(shown).mapInArrow(run, f"`{id_col}` {shown.schema[0].dataType.simpleString()}, n_chars long, n_tokens long, ids array<int>, lossless boolean")
 
 
 def decode(df: DataFrame, model_data: bytes, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -400,4 +409,4 @@ def decode(df: DataFrame, model_data: bytes, *, id_col: str = "doc_id", ids_col:
             texts = [encoder.decode(np.array(x.as_py(), np.int64)) if x.is_valid else None for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return shown.mapInArrow(run, f"`{id_col}` {shown.schema[0].dataType.simpleString()}, text string")
+    return few_at_a_time(shown).mapInArrow(run, f"`{id_col}` {shown.schema[0].dataType.simpleString()}, text string")
