@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_ROWS = 1000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -18,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests in local mode) a temporary folder is made and set."""
+    Only where it is unset in local mode (tests) a temporary folder is made and set; a cluster has to name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexiflow-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -38,6 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few_at_a_time(df: DataFrame) -> DataFrame:
+    """df, for texts that go to Python: from now on the session's Arrow batches hold ``ARROW_ROWS`` rows at
+    most. Spark bounds them by rows alone, and 10,000 texts can be more than a small executor has."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+    return df
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z only; other letters stay as they are."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import cut
+from lexiflow.llm.common import cut, few_at_a_time
 from lexiflow.llm.urlfilter import host_of
 
 MIN_PAGES, MIN_CLASS = 3, 3
@@ -276,7 +276,7 @@ def token_counts(pages: DataFrame) -> DataFrame:
                 rows = [(host, _signed(path), *got[:-1], _signed(got[-1])) for (host, path), got in sums.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return pages.mapInArrow(run, TOKEN)
+    return few_at_a_time(pages).mapInArrow(run, TOKEN)
 
 
 def nested(tokens: pd.DataFrame) -> tuple[int, list[int]] | None:
@@ -353,4 +353,4 @@ def extract(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     kinds = [placed.schema[k].dataType.simpleString() for k in (0, 1)]
-    return placed.mapInArrow(run, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")
+    return few_at_a_time(placed).mapInArrow(run, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")

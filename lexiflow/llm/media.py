@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import fresh_path
+from lexiflow.llm.common import few_at_a_time, fresh_path
 
 UNIT = 576
 WIDTH = 24
@@ -116,7 +116,7 @@ def interleave(df: DataFrame, *, id_col: str, html_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), items], names=[id_col, "items"])
 
     shown = df.select(F.col(id_col), F.col(html_col))
-    return shown.mapInArrow(parse, f"`{id_col}` {shown.schema[0].dataType.simpleString()}, items array<{ITEM}>")
+    return few_at_a_time(shown).mapInArrow(parse, f"`{id_col}` {shown.schema[0].dataType.simpleString()}, items array<{ITEM}>")
 
 
 def resolve(sequences: DataFrame, media: DataFrame, *, id_col: str) -> DataFrame:
@@ -177,7 +177,7 @@ def store_payloads(df: DataFrame, path: str, *, id_col: str, text_col: str) -> N
                     names=[id_col, "n_bytes", "digest", "stored"],
                 )
 
-    out = kept.mapInArrow(images, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, n_bytes long, digest string, stored binary")
+    out = few_at_a_time(kept).mapInArrow(images, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, n_bytes long, digest string, stored binary")
     out.write.option("compression", "zstd").parquet(path)
 
 
@@ -194,7 +194,7 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
             names = [x.split()[0] for x in DESCRIBED.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if isinstance(c[0], int) else pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.int64() if "long" in x else pa.string()) for x in DESCRIBED.split(", ")], names=names)
 
-    described = spark.read.parquet(path).select("digest", "n_bytes", "stored").mapInArrow(describe, DESCRIBED)
+    described = few_at_a_time(spark.read.parquet(path).select("digest", "n_bytes", "stored")).mapInArrow(describe, DESCRIBED)
     return described.groupBy("digest", "n_bytes").agg(*(F.first(c).alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))).select(*(x.split()[0] for x in DESCRIBED.split(", ")))
 
 

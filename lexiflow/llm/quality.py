@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import cut
+from lexiflow.llm.common import cut, few_at_a_time
 
 FEATURES = (
     "log_words", "log_mean_word", "upper", "digit", "punct", "symbol", "pipe", "high", "ends_stop", "unique", "repeat_next", "top_word",
@@ -140,7 +140,7 @@ def with_statistics(df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=[id_col, "x"])
 
     shown = df.select(F.col(id_col), F.col(text_col).cast("string"))
-    return shown.mapInArrow(run, f"`{id_col}` {shown.schema[0].dataType.simpleString()}, x array<double>")
+    return few_at_a_time(shown).mapInArrow(run, f"`{id_col}` {shown.schema[0].dataType.simpleString()}, x array<double>")
 
 
 def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -183,11 +183,11 @@ def keep_good(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     known = labels.select(F.col(label_id_col).alias("_id"), F.col(label_col).alias("label")).where(~held_out(F.col("_id"))).dropDuplicates()
     model = fit(moments(with_statistics(df, id_col=id_col, text_col=text_col).join(known, F.col(id_col) == F.col("_id")).select("x", "label")))
 
-    @F.pandas_udf("boolean")
-    def good(text: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(np.array([statistics(t) for t in text])) >= cut_at if len(text) else [], dtype=bool)
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        return pa.array(model.scores(np.array([statistics(t.as_py()) for t in text])) >= cut_at if len(text) else [], pa.bool_())
 
-    return df.where(good(F.col(text_col).cast("string")))
+    return few_at_a_time(df).where(good(F.col(text_col).cast("string")))
 
 
 def crc_fold(id_) -> int:

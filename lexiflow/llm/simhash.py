@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import cut
+from lexiflow.llm.common import cut, few_at_a_time
 from lexiflow.llm.components import components
 
 SEED = 42
@@ -86,7 +86,7 @@ def fingerprints(df: DataFrame, *, id_col: str, text_col: str, shingle: int = SH
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 
     shown = df.select(F.col(id_col), F.col(text_col).cast("string"))
-    return shown.mapInArrow(run, f"`{id_col}` {shown.schema[0].dataType.simpleString()}, fp long")
+    return few_at_a_time(shown).mapInArrow(run, f"`{id_col}` {shown.schema[0].dataType.simpleString()}, fp long")
 
 
 @functools.cache

@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from lexiflow.llm.common import shuffle_partitions
+from lexiflow.llm.common import few_at_a_time, shuffle_partitions
 
 WINDOW = 13
 BEFORE, AFTER = 3, 5
@@ -306,7 +306,7 @@ def send_names(df: DataFrame, buckets: int, batch_words: int) -> DataFrame:
         if held.docs:
             yield from pack(held, number)
 
-    return df.mapInArrow(run, NAMES)
+    return few_at_a_time(df).mapInArrow(run, NAMES)
 
 
 def shared_names(sent: DataFrame, buckets: int) -> DataFrame:
@@ -411,7 +411,7 @@ def send_windows(df: DataFrame, buckets: int, batch_words: int) -> DataFrame:
         if held.docs:
             yield from _batches(pack(held, memory)[0], WINDOWS)
 
-    return df.mapInArrow(run, WINDOWS)
+    return few_at_a_time(df).mapInArrow(run, WINDOWS)
 
 
 def verify(sent: DataFrame, parts: int) -> DataFrame:
@@ -507,4 +507,4 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             names = [id_col, "n_words", "n_removed", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.string())] if with_text else arrays, names=[*names, "kept"] if with_text else names)
 
-    return both.mapInArrow(finish, f"`{id_col}` {id_type}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    return few_at_a_time(both).mapInArrow(finish, f"`{id_col}` {id_type}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
