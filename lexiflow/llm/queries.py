@@ -14,7 +14,9 @@ URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    ratios = secrets.train(secrets.sample_counts(secrets.labelled_samples()), secrets.corpus_counts(docs))
+    return secrets.scan(docs, ratios=ratios)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
