@@ -1,12 +1,11 @@
 """URL filter: allow and block entries in a trie over reversed host labels and path segments.
 
 An entry is written ``host/path``; it fits its host and all subdomains of it, for every URL
-whose path starts with the entry's path. Of several fitting entries the longest wins: first
-the one with more host labels, then the one with the longer path; if an allow and a block entry
-are written alike, the block entry counts.
+whose path starts with the entry's path. Of several fitting entries the longest as written wins; of equally
+long ones that with the longer host; if an allow and a block entry are written alike, the block entry counts.
 
 Two ways give the same result. Up to ``max_trie_rules`` entries (the proven bound of what is
-shipped to executors) the trie travels with the task closure and is probed in Arrow batches.
+shipped to executors) the trie is broadcast, so a worker unpacks it once, and probed in Arrow batches.
 Beyond it, :func:`judge_by_join` explodes every URL into its (host suffix, path folder) keys,
 whose number depends only on the URL, and joins them to the rules by equality.
 
@@ -75,8 +74,9 @@ class UrlTrie:
         node, best = self.root, None
         labels = reversed(host.split(".")) if host else iter(())
         while node is not None:
-            if node["paths"] is not None:
-                best = self._deepest(node["paths"], path) or best
+            # host nodes come with growing hosts, so of equally long entries the later has the longer host
+            if node["paths"] is not None and (found := self._deepest(node["paths"], path)) and (best is None or len(found[0]) >= len(best[0])):
+                best = found
             label = next(labels, None)
             node = None if label is None else node["next"].get(label)
         return best
@@ -98,10 +98,11 @@ def _after_scheme(url: Column) -> Column:
 
 
 def judge_by_trie(urls: DataFrame, rules: list[tuple[str, str]], otherwise: str) -> DataFrame:
-    trie = UrlTrie(rules)
+    held = urls.sparkSession.sparkContext.broadcast(UrlTrie(rules))
 
     @F.pandas_udf("rule string, verdict string")
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        trie = held.value
         for host, path in batches:
             found = [trie.find(h, p) or (None, otherwise) for h, p in zip(host, path)]
             yield pd.DataFrame(found, columns=["rule", "verdict"], dtype=object)
@@ -130,7 +131,7 @@ def judge_by_join(urls: DataFrame, rules: DataFrame, otherwise: str) -> DataFram
         .agg(
             F.max_by(
                 F.struct("rule", "verdict"),
-                F.struct(F.when(F.col("_rule_host") == "", 0).otherwise(F.size(F.split("_rule_host", r"\.", -1))), F.length("_rule_path"), F.col("verdict"), F.col("rule")),
+                F.struct(F.length("rule"), F.length("_rule_host"), F.col("verdict"), F.col("rule")),
             ).alias("_best")
         )
     )

@@ -17,14 +17,14 @@ def slow(url, rules):
     for verdict, rule in rules:
         h, p = urlfilter.parse_rule(rule)
         if (h == "" or host == h or host.endswith("." + h)) and path.startswith(p):
-            rank = (len(h.split(".")) if h else 0, len(p), verdict == "block")
+            rank = (len(rule), len(h), verdict == "block")
             if best is None or rank > best[0]:
                 best = rank, rule, verdict
     return host, path, best and best[1], best[2] if best else "allow"
 
 
 URLS = [None, "", "nothing", "://", "http://", "HTTP://Blog.Example.COM/en/71?x", "http://example.com/en/", "https://com/en/7", "http://xexample.com/en/7", "http://a.net/de/8", "http://a.example.net/de/88#t", "http://example.org?/es/", "http://user@b.org:80/es/", "http://a.org/es/x", "http://é.org/es/ü\n", "x://y://z.com/en/", "http://a..com//en/", "http://com./en/"]
-MANY = [*URL_RULES, ("block", "b.org/"), ("allow", "b.org"), ("block", "a.net/de/8"), ("allow", "a.net/de/8"), ("block", "/es/x"), ("allow", "COM/en/7/x")]
+MANY = [*URL_RULES, ("block", "b.org/"), ("allow", "b.org"), ("block", "a.net/de/8"), ("allow", "a.net/de/8"), ("block", "/es/x"), ("allow", "COM/en/7/x"), ("allow", "net/de/8 is long"), ("block", "org/es/x/"), ("allow", "a.org/es/"), ("block", "b.com/"), ("allow", "com/de/")]
 
 
 @pytest.mark.parametrize("rules", [URL_RULES, MANY, []])
