@@ -12,6 +12,12 @@ covering radius plus threshold, 1 + 1. So for any linked pair, one of the two me
 other at its home in some block: per anchor the home members are compared with all members,
 and no pair is missed. A fingerprint has about 41 replicas of 17 bytes.
 
+The covering is a parameter: (blocks, picked, radius) cuts the 64 bits into blocks and covers every choice of ``picked`` of
+them, in one of which linked fingerprints differ in ``radius`` bits or fewer. The above is (3, 1, 1), with 2^17 anchors in
+each choice, so that some 2^17 fingerprints are compared for each fingerprint of 2^34. Beyond ``MANY`` distinct fingerprints (7, 3, 0)
+is taken: 35 choices of 27 or 28 bits, of which three blocks have no differing bit at all, so a fingerprint goes to its home
+alone, one of 2^23 anchors or more. Both find every link, so the results are the same (tested).
+
 Equal fingerprints are one node, however many documents have them. An anchor with more than
 ``cell`` members is dealt to a grid of cells, each comparing a part of the home members with a part
 of the others, so no task gets an unbounded group. A cell hands on a spanning forest of its
@@ -29,6 +35,7 @@ are read.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +51,8 @@ SEED = 42
 SHINGLE = 4
 THRESHOLD = 4
 CELL = 20_000
-BLOCKS = ((0, 22), (22, 21), (43, 21))
+COVERING, WIDER = (3, 1, 1), (7, 3, 0)
+MANY = 1 << 22
 CODED = 15
 CHUNK = 4_000_000
 
@@ -107,42 +115,65 @@ def _hamming() -> tuple[np.ndarray, np.ndarray]:
     return home, others
 
 
-def homes(fps: np.ndarray) -> np.ndarray:
-    """The home anchors of each fingerprint, a row for each block."""
+@functools.cache
+def choices(blocks: int, picked: int) -> tuple[tuple[tuple[int, int], ...], ...]:
+    """The (shift, width) of the blocks of each choice."""
+    edges = [-(-64 * k // blocks) for k in range(blocks + 1)]
+    every = [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
+    return tuple(itertools.combinations(every, picked))
+
+
+def check_covering(covering: tuple[int, int, int], threshold: int) -> None:
+    """That the emptiest ``picked`` of the blocks differ in at most ``radius`` bits, however the threshold's bits are spread."""
+    blocks, picked, radius = covering
+    each, rest = divmod(threshold, blocks)
+    if radius not in (0, 1) or picked * each + max(0, picked - (blocks - rest)) > radius:
+        raise ValueError(f"the covering {covering} isn't complete for {threshold} differing bits")
+    if any(sum(w for _, w in c) < CODED for c in choices(blocks, picked)) or any(sum(w for _, w in c) > 32 for c in choices(blocks, picked)):
+        raise ValueError(f"a choice has to have {CODED} to 32 bits: {covering}")
+
+
+def _parts(fps: np.ndarray, covering: tuple[int, int, int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(number, width, bits) of each choice of blocks."""
+    for number, chosen in enumerate(choices(*covering[:2])):
+        bits, width = np.zeros(len(fps), np.int64), 0
+        for shift, w in chosen:
+            bits |= (fps >> np.uint64(shift) & np.uint64((1 << w) - 1)).astype(np.int64) << width
+            width += w
+        yield number, width, bits
+
+
+def homes(fps: np.ndarray, covering: tuple[int, int, int] = COVERING) -> np.ndarray:
+    """The home anchors of each fingerprint, a row for each choice of blocks."""
     home, _ = _hamming()
-    out = []
-    for k, (shift, width) in enumerate(BLOCKS):
-        block = (fps >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.int64)
-        out.append(home[block & (1 << CODED) - 1] | block >> CODED << CODED | k << 32)
-    return np.stack(out)
+    return np.stack([home[bits & (1 << CODED) - 1] | bits >> CODED << CODED | number << 32 for number, _, bits in _parts(fps, covering)])
 
 
-def replicas(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def replicas(fps: np.ndarray, covering: tuple[int, int, int] = COVERING) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, index into fps, is home) of every anchor that a fingerprint goes to."""
     home, others = _hamming()
     index = np.arange(len(fps))
     anchors, of, at_home = [], [], []
-    for k, (shift, width) in enumerate(BLOCKS):
-        block = (fps >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.int64)
-        coded, free = block & (1 << CODED) - 1, block >> CODED << CODED
+    for number, width, bits in _parts(fps, covering):
+        coded, free = bits & (1 << CODED) - 1, bits >> CODED << CODED
         own = home[coded] | free
         near = [own ^ 1 << b for b in range(CODED, width)] + [np.where(others[coded, j] == home[coded], -1, others[coded, j] | free) for j in range(7)]
-        for j, a in enumerate([own, *near]):
+        for j, a in enumerate([own, *(near if covering[2] else ())]):
             keep = a >= 0
-            anchors.append(a[keep] | k << 32)
+            anchors.append(a[keep] | number << 32)
             of.append(index[keep])
             at_home.append(np.full(keep.sum(), j == 0))
     return np.concatenate(anchors), np.concatenate(of), np.concatenate(at_home)
 
 
-def replicate(fps: DataFrame) -> DataFrame:
+def replicate(fps: DataFrame, covering: tuple[int, int, int] = COVERING) -> DataFrame:
     """fps (fp) -> (anchor, fp, home)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for lo in range(0, len(values), 10_000):
-                anchor, of, home = replicas(part := values[lo : lo + 10_000])
+                anchor, of, home = replicas(part := values[lo : lo + 10_000], covering)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[of].view(np.int64)), pa.array(home)], names=["anchor", "fp", "home"])
 
     return fps.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
@@ -225,11 +256,13 @@ def group_keys(got: pa.Table) -> np.ndarray:
     return np.unique(np.stack((anchor, where.astype(np.int64))), axis=1, return_inverse=True)[1] if where.any() else anchor
 
 
-def links(fps: DataFrame, *, threshold: int = THRESHOLD, cell: int = CELL) -> DataFrame:
-    """Distinct fingerprints (fp) -> edges (a, b) whose components are those of all links."""
-    if threshold // len(BLOCKS) > 1:
-        raise ValueError(f"three blocks with one differing bit cover a threshold of 5 at most: {threshold}")
-    members = deal(replicate(fps), cell)
+def links(fps: DataFrame, *, threshold: int = THRESHOLD, cell: int = CELL, covering: tuple[int, int, int] | None = None) -> DataFrame:
+    """Distinct fingerprints (fp) -> edges (a, b) whose components are those of all links. covering: None takes it by the number of rows."""
+    n = fps.count()
+    covering = covering or (COVERING if n <= MANY or threshold > 4 else WIDER)
+    check_covering(covering, threshold)
+    # no anchor has more members than there are fingerprints
+    members = deal(replicate(fps, covering), cell) if n > cell else replicate(fps, covering).withColumn("cell", F.lit(0))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held := [x for x in batches if x.num_rows]:
@@ -241,11 +274,11 @@ def links(fps: DataFrame, *, threshold: int = THRESHOLD, cell: int = CELL) -> Da
     return members.select("anchor", "fp", "home", "cell").repartition("anchor", "cell").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, cell: int = CELL) -> DataFrame:
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, cell: int = CELL, covering: tuple[int, int, int] | None = None) -> DataFrame:
     """(id, fp, component_id) of every row; component_id is the smallest id of its component."""
     docs = cut(fingerprints(df, id_col=id_col, text_col=text_col, shingle=shingle))
     nodes = cut(docs.groupBy("fp").agg(F.min(id_col).alias("_first")))
-    roots = components(links(nodes, threshold=threshold, cell=cell))
+    roots = components(links(nodes, threshold=threshold, cell=cell, covering=covering))
     member = roots.join(nodes.select(F.col("fp").alias("node"), "_first"), "node")
     least = cut(member.groupBy("root").agg(F.min("_first").alias("component_id")))
     named = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from lexiflow.llm import simhash
@@ -41,7 +42,8 @@ def test_fingerprint_matches_the_definition():
         assert simhash.fingerprint(text) == slow_fingerprint(text)
 
 
-def test_every_link_meets_at_a_home():
+@pytest.mark.parametrize("covering", [simhash.COVERING, simhash.WIDER, (5, 2, 1)])
+def test_every_link_meets_at_a_home(covering):
     rng = random.Random(1)
     fps = [rng.getrandbits(64) for _ in range(300)]
     for f in fps[:200]:
@@ -50,7 +52,7 @@ def test_every_link_meets_at_a_home():
                 f ^= 1 << b
             fps.append(f)
     arr = np.unique(np.array(fps, np.uint64))
-    anchor, of, home = simhash.replicas(arr)
+    anchor, of, home = simhash.replicas(arr, covering)
     at_home, at_all = {}, {}
     for a, i, h in zip(anchor.tolist(), of.tolist(), home.tolist()):
         at_all.setdefault(a, set()).add(i)
@@ -113,3 +115,33 @@ def test_near_duplicates_edge_cases(spark):
     assert got == [(-1, 3), (3, 3), (3, 3), (5, 3), (7, 7), (8, 7), (9, 7), (10, 10), (11, 10)]
     empty = simhash.near_duplicates(df.limit(0))
     assert empty.columns == ["doc_id", "fp", "component_id"] and empty.count() == 0
+
+
+def test_coverings_give_the_same_components(spark):
+    rng = random.Random(5)
+    fps = [rng.getrandbits(64) for _ in range(200)]
+    for _ in range(400):
+        f = rng.choice(fps)
+        for b in rng.sample(range(64), rng.randint(1, 5)):
+            f ^= 1 << b
+        fps.append(f)
+    fps = sorted(set(fps))
+    nodes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    want = slow_components(fps)
+    for covering in (simhash.COVERING, simhash.WIDER, (5, 2, 1)):
+        roots = {int(np.int64(r.node).view(np.uint64)): int(np.int64(r.root).view(np.uint64)) for r in simhash.components(simhash.links(nodes, covering=covering, cell=100)).collect()}
+        groups = {}
+        for f in fps:
+            groups.setdefault(roots.get(f, f), set()).add(f)
+        expected = {}
+        for i, r in enumerate(want):
+            expected.setdefault(r, set()).add(fps[i])
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_incomplete_coverings_are_refused():
+    for covering, threshold in (((3, 1, 1), 6), ((7, 3, 0), 5), ((7, 3, 2), 4), ((2, 2, 1), 4), ((8, 1, 0), 4)):
+        with pytest.raises(ValueError):
+            simhash.check_covering(covering, threshold)
+    for covering, threshold in (((3, 1, 1), 5), ((7, 3, 0), 4), ((5, 2, 1), 4)):
+        simhash.check_covering(covering, threshold)
