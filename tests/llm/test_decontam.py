@@ -34,10 +34,10 @@ def slow(docs, items, size=10):
     return sorted(out, key=str)
 
 
-def run(spark, docs, items):
+def run(spark, docs, items, **more):
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as _id", "2 as item_id", "3 as run", "4 as size")
     i = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as doc_id", "2 as words")
-    return sorted((tuple(r) for r in decontam.find_contamination(d, i).collect()), key=str)
+    return sorted((tuple(r) for r in decontam.find_contamination(d, i, **more).collect()), key=str)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -54,6 +54,7 @@ def test_random_texts(spark, seed):
                 text += words(rng.choice(items)[1])
         docs.append((rng.choice([d, d, 5, None]), ", ".join(text).upper() if rng.random() < 0.5 else "  ".join(text)))
     assert run(spark, docs, items) == slow(docs, items)
+    assert run(spark, docs, items, max_literals=0) == slow(docs, items)
 
 
 def test_edge_cases(spark):
