@@ -1,22 +1,25 @@
-"""The review queue: ids, pending items, decisions.
+"""The review queue: complete rows, ids, pending items, decisions and their audit.
 
-The queue is relational. Decisions depend on each other in line order, so they fold on the driver over
-the decisions alone (people write them; ``MAX_DECISIONS`` is checked); their effect on the lexicon
-is joins: an upsert by id and a disabling join."""
+The queue and the lexicon are relational. Decisions depend on each other in line order (what a line does to the
+queue or the lexicon decides whether a later one may apply), so they fold on the driver: over the decisions, which people write
+(``MAX_DECISIONS`` is checked), and the queue and lexicon rows that they name, which two semi-joins find
+(``MAX_TOUCHED`` is checked). The effects go back to the whole queue and lexicon as joins."""
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from collections import defaultdict
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions.ids import entry_id, review_id
 from lexiflow.operators.policy import trust
 from lexiflow.schema import DECISION
 
-MAX_DECISIONS = 1_000_000
+MAX_DECISIONS, MAX_TOUCHED = 1_000_000, 5_000_000
+TIME = "yyyy-MM-dd'T'HH:mm:ss"
 ACTIONS = ("add_override", "disable_base_entry", "reject")
 
 
@@ -26,6 +29,18 @@ def with_ids(queue: DataFrame, canonical: str = "canonical") -> DataFrame:
     return queue.withColumn("review_id", F.coalesce(given, review_id(F.col(canonical))))
 
 
+def complete(items: DataFrame, canonical: Column, now: Column | None = None) -> DataFrame:
+    """Items as rows of the queue. What an item brings itself counts, also a null; else it gets an id
+    from its canonical JSON, the time, and the status pending."""
+    given = {"review_id": review_id(canonical), "created_at": F.date_format(now if now is not None else F.current_timestamp(), TIME), "status": F.lit("pending")}
+    return items.withColumns({k: v for k, v in given.items() if k not in items.columns})
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Append rows to a queue or an audit of JSON lines; nulls are written, too."""
+    rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
+
+
 def canonical_json(item: dict) -> str:
     return json.dumps(item, ensure_ascii=False, sort_keys=True)
 
@@ -41,127 +56,155 @@ def import_unresolved(rows: DataFrame, owner: str = "migration", reason: str = "
     return kept.select(F.lit("offline_unresolved").alias("kind"), F.lit("add_override").alias("action"), F.lit(owner).alias("owner"), F.lit(reason).alias("reason"), F.col("value").alias("evidence"), F.lit("pending").alias("status"))
 
 
-def judge(queue: DataFrame, decisions: DataFrame) -> DataFrame:
-    """decisions with outcome ``error``: null if the decision may apply. Of queue rows with one id
-    the last counts; an item takes one decision, the first valid one in line order."""
-    last = Window.partitionBy("review_id").orderBy(F.desc("line_no"))
-    items = queue.where("coalesce(review_id, '') <> ''").withColumn("_n", F.row_number().over(last)).where("_n = 1").select("review_id", F.coalesce("status", F.lit("")).alias("_status"), F.lit(True).alias("_there"))
-    joined = decisions.join(items, "review_id", "left")
-    known = F.coalesce("_there", F.lit(False))
-    complete = (F.col("decision") != "add_override") | (F.coalesce("src", F.lit("")) != "") & F.col("tgt").isNotNull()
-    fault = (
-        F.when(F.coalesce("review_id", F.lit("")) == "", "no_review_id")
-        .when(~known, "unknown_review_id")
-        .when(F.col("_status") != "pending", "not_pending")
-        .when(~F.coalesce("decision", F.lit("")).isin(*ACTIONS), "bad_decision")
-        .when(~complete, "incomplete")
-    )
-    judged = joined.withColumn("error", fault)
-    earlier = Window.partitionBy("review_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.coalesce(F.max(F.col("error").isNull()).over(earlier), F.lit(False))
-    return judged.withColumn("error", F.coalesce("error", F.when(taken, "not_pending"))).drop("_status", "_there")
-
-
-def upserts(applied: DataFrame) -> DataFrame:
-    """Entries that add_override decisions write; of one id the last."""
-    rows = applied.where("decision = 'add_override'").withColumns(
-        {"level": F.coalesce("level", F.lit("phrase")), "tier": F.coalesce("tier", F.lit("manual")), "priority": F.coalesce("priority", F.lit(100)), "score": F.coalesce("score", F.lit(1.0)), "status": F.coalesce("status", F.lit("active")), "source": F.coalesce("source", F.lit("review_queue")), "updated_by": F.coalesce("owner", F.lit("reviewer"))}
-    )
-    rows = rows.withColumn("trust", trust()).withColumn("entry_id", F.coalesce("entry_id", entry_id(F.col("src"), F.col("tgt"), F.col("level"), F.col("tier"), F.col("source"))))
-    last = Window.partitionBy("entry_id").orderBy(F.desc("line_no"))
-    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
-
-
-def disabled_by(lexicon: DataFrame, applied: DataFrame) -> DataFrame:
-    """(entry_id, line_no): base entries that disable decisions hit, by id or source text, and level.
-
-    Two equality joins instead of one with an alternative, so neither is a nested loop."""
-    base = lexicon.where("tier = 'base' and coalesce(status, '') <> 'disabled'").select("entry_id", "src", "level")
-    wants = applied.where("decision = 'disable_base_entry'").select("line_no", F.col("entry_id").alias("_id"), F.col("src").alias("_src"), F.col("level").alias("_level"))
-    by_id = base.join(wants.where("_id <> ''"), F.col("entry_id") == F.col("_id"))
-    by_src = base.join(wants.where("_src <> ''"), F.col("src") == F.col("_src"))
-    hits = by_id.unionByName(by_src).where("coalesce(_level, '') = '' or _level = level")
-    return hits.groupBy("entry_id").agg(F.min("line_no").alias("line_no"))
-
-
-def apply_to_lexicon(lexicon: DataFrame, applied: DataFrame) -> DataFrame:
-    """The lexicon after decisions: an override replaces the row with its id or is added; disabled base rows
-    change their status. (entry_id, src, tgt, level, tier, priority, status, source, trust)"""
-    shown = ["entry_id", "src", "tgt", "level", "tier", "priority", "status", "source", "trust"]
-    disabled = disabled_by(lexicon, applied).select("entry_id", F.lit("disabled").alias("_to"))
-    changed = lexicon.join(disabled, "entry_id", "left").withColumn("status", F.coalesce("_to", "status")).select(*shown)
-    new = upserts(applied).select(*shown)
-    return changed.join(new.select("entry_id"), "entry_id", "left_anti").unionByName(new)
+SHOWN = ["entry_id", "src", "tgt", "level", "tier", "priority", "status", "source", "trust"]
+OVERRIDE = "entry_id string, src string, tgt string, level string, tier string, priority int, score double, status string, source string, trust string, updated_by string"
+OUTCOME = "line_no long, place int, review_id string, decision string, owner string, reason string, error string, op string, entry_id string, disabled_count int"
 
 
 @dataclass
-class Applied:
-    lexicon: list[dict]
-    queue: list[dict]
-    audit: list[dict]
-    summary: dict
+class Resolved:
+    outcomes: DataFrame  # OUTCOME, one row a decision; error is null where it was applied
+    queue: DataFrame  # the whole queue after the decisions
+    lexicon: DataFrame  # the whole lexicon after them
+    audit: DataFrame  # a row for each applied decision
 
 
-def apply_in_order(queue: DataFrame, lexicon: DataFrame, decisions: DataFrame, *, owner: str = "reviewer") -> Applied:
-    """The exact sequential form, for decisions that touch the same rows: each line sees what
-    the lines before it left, and a failed one leaves its item pending. All three are small here."""
+@dataclass
+class _State:
+    """What the decisions so far have made of the rows that they name."""
+
+    pending: dict[str, bool]
+    rows: dict[str, list[dict]] = field(default_factory=lambda: defaultdict(list))  # by id
+    of_src: dict[str, list[dict]] = field(default_factory=lambda: defaultdict(list))
+    overrides: dict[str, dict] = field(default_factory=dict)
+    disabled: set[str] = field(default_factory=set)
+
+    def add(self, row: dict) -> None:
+        self.rows[row["entry_id"]].append(row)
+        self.of_src[row["src"]].append(row)
+
+    def override(self, entry: dict) -> None:
+        if held := self.rows[entry["entry_id"]]:
+            if held[0] in self.of_src[held[0]["src"]]:
+                self.of_src[held[0]["src"]].remove(held[0])
+            held[0] |= entry
+            self.of_src[entry["src"]].append(held[0])
+        else:
+            self.add(dict(entry))
+        self.overrides[entry["entry_id"]] = self.rows[entry["entry_id"]][0]
+        self.disabled.discard(entry["entry_id"])
+
+    def disable(self, line: dict) -> int:
+        named = self.rows.get(line["entry_id"] or "", []) + (self.of_src.get(line["src"], []) if line["src"] else [])
+        hits = {id(r): r for r in named if r["tier"] == "base" and r["status"] != "disabled" and line["level"] in (None, "", r["level"])}
+        for r in hits.values():
+            r["status"] = "disabled"
+            self.disabled.add(r["entry_id"])
+        return len(hits)
+
+
+def _bounded(df: DataFrame, most: int, what: str) -> list[dict]:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return [r.asDict() for r in rows]
+
+
+def with_override_defaults(decisions: DataFrame, owner: str) -> DataFrame:
+    """The decisions with the defaults of the entries that they may write, and the writer."""
+    rows = decisions.withColumn("owner", F.coalesce(F.when(F.col("owner") != "", F.col("owner")), F.lit(owner)))
+    given = {"level": F.lit("phrase"), "tier": F.lit("manual"), "priority": F.lit(100), "score": F.lit(1.0), "status": F.lit("active"), "source": F.lit("review_queue")}
+    new = rows.withColumns({k: F.coalesce(F.col(k), v) for k, v in given.items()}).withColumn("updated_by", F.col("owner")).withColumn("trust", trust())
+    made = F.coalesce(F.when(F.col("entry_id") != "", F.col("entry_id")), entry_id(F.col("src"), F.col("tgt"), F.col("level"), F.col("tier"), F.col("source")))
+    entry = F.struct(*(made.alias(c) if c == "entry_id" else F.col(c) for c in (x.split()[0] for x in OVERRIDE.split(", "))))
+    return new.select("line_no", "owner", entry.alias("entry"))
+
+
+def resolve(queue: DataFrame, lexicon: DataFrame, decisions: DataFrame, *, owner: str = "reviewer", now: Column | None = None) -> Resolved:
+    """Apply the decisions in line order. Of queue rows with one id the last counts. A decision that fails
+    leaves its item pending; a disabling one that hits no active base entry fails."""
     spark = decisions.sparkSession
-    lines = [r.asDict() for r in decisions.orderBy("line_no").limit(MAX_DECISIONS + 1).collect()]
-    if len(lines) > MAX_DECISIONS:
-        raise ValueError("too many decisions for one run")
-    items = [r.asDict() for r in queue.orderBy("line_no").collect()]
-    rows = [r.asDict() for r in lexicon.collect()]
-    by_review = {i["review_id"]: i for i in items if i.get("review_id")}
-    ids = {}
-    adding = [x for x in lines if x.get("decision") == "add_override"]
-    if adding:
-        ids = {r.line_no: r.asDict() for r in upserts_each(spark.createDataFrame(adding, decisions.schema), owner).collect()}
-    audit, errors, done = [], [], dict.fromkeys(ACTIONS, 0)
-    for n, line in enumerate(lines, 1):
-        rid, action = line.get("review_id"), line.get("decision")
-        item = by_review.get(rid)
-        problem = "no review_id" if not rid else "unknown review_id" if item is None else "not pending" if item.get("status") != "pending" else "bad decision" if action not in ACTIONS else None
-        result = {"op": "reject"}
-        if problem is None and action == "add_override":
-            if not line.get("src") or line.get("tgt") is None:
-                problem = "src and tgt are needed"
+    time = F.date_format(now if now is not None else F.current_timestamp(), TIME)
+    made = with_override_defaults(decisions, owner)
+    lines = _bounded(decisions.select("line_no", "review_id", "decision", "reason", "src", "tgt", "level", "entry_id").join(made, "line_no").orderBy("line_no"), MAX_DECISIONS, "decisions")
+    last = Window.partitionBy("review_id").orderBy(F.desc("line_no"))
+    named = decisions.select("review_id").where("review_id <> ''").distinct()
+    items = queue.join(F.broadcast(named), "review_id", "left_semi").withColumn("_n", F.row_number().over(last)).where("_n = 1").select("review_id", "status")
+    state = _State({r["review_id"]: r["status"] == "pending" for r in _bounded(items, MAX_DECISIONS, "queue items")})
+    ids = decisions.select(F.col("entry_id").alias("_x")).unionAll(made.select("entry.entry_id")).where("_x <> ''").distinct()
+    sources = decisions.where("decision = 'disable_base_entry'").select(F.col("src").alias("_x")).where("_x <> ''").distinct()
+    by_id, by_src = (lexicon.join(F.broadcast(x), F.col(c) == F.col("_x"), "left_semi") for x, c in ((ids, "entry_id"), (sources.where("_x is not null"), "src")))
+    for row in _bounded(by_id.unionByName(by_src.join(F.broadcast(ids), F.col("entry_id") == F.col("_x"), "left_anti")).select("entry_id", "src", "level", "tier", "status"), MAX_TOUCHED, "entries that decisions name"):
+        state.add(row)
+
+    outcomes = []
+    for place, line in enumerate(lines, 1):
+        rid, action, error, op, entry, n = line["review_id"], line["decision"], None, None, None, None
+        if not rid:
+            error = "no_review_id"
+        elif rid not in state.pending:
+            error = "unknown_review_id"
+        elif not state.pending[rid]:
+            error = "not_pending"
+        elif action not in ACTIONS:
+            error = "bad_decision"
+        elif action == "add_override":
+            if not line["src"] or line["tgt"] is None:
+                error = "incomplete"
             else:
-                entry = {k: v for k, v in ids[line["line_no"]].items() if k in (rows[0] if rows else ids[line["line_no"]])}
-                at = next((k for k, r in enumerate(rows) if r["entry_id"] == entry["entry_id"]), None)
-                if at is None:
-                    rows.append(entry)
-                else:
-                    rows[at] |= entry
-                result = {"op": "add_or_update_override", "entry_id": entry["entry_id"]}
-        elif problem is None and action == "disable_base_entry":
-            hit = [r for r in rows if r["tier"] == "base" and r["status"] != "disabled" and (line.get("entry_id") and r["entry_id"] == line["entry_id"] or line.get("src") and r["src"] == line["src"]) and (not line.get("level") or r["level"] == line["level"])]
-            for r in hit:
-                r["status"] = "disabled"
-            problem = None if hit else "no active base entry is hit"
-            result = {"op": "disable_base_entry", "disabled_count": len(hit)}
-        if problem:
-            errors.append(f"line {n}: {problem}")
-            continue
-        item |= {"status": "resolved", "resolved_by": line.get("owner") or owner, "decision": action, "decision_reason": line.get("reason") or ""}
-        audit.append({"review_id": rid, "action": action, "owner": line.get("owner") or owner, "reason": line.get("reason") or "", "result": result})
-        done[action] += 1
-    return Applied(rows, items, audit, {"total_decisions": len(lines), "applied": sum(done.values()), "add_override": done["add_override"], "disable_base_entry": done["disable_base_entry"], "reject": done["reject"], "errors": errors})
-
-
-def upserts_each(adding: DataFrame, owner: str) -> DataFrame:
-    """upserts, for each line on its own."""
-    rows = adding.withColumn("owner", F.coalesce(F.when(F.col("owner") != "", F.col("owner")), F.lit(owner)))
-    keyed = rows.withColumns({"level": F.coalesce("level", F.lit("phrase")), "tier": F.coalesce("tier", F.lit("manual")), "priority": F.coalesce("priority", F.lit(100)), "score": F.coalesce("score", F.lit(1.0)), "status": F.coalesce("status", F.lit("active")), "source": F.coalesce("source", F.lit("review_queue")), "updated_by": F.col("owner")})
-    return keyed.withColumn("trust", trust()).withColumn("entry_id", F.coalesce("entry_id", entry_id(F.col("src"), F.col("tgt"), F.col("level"), F.col("tier"), F.col("source"))))
-
-
-def summary(judged: DataFrame) -> DataFrame:
+                new = line["entry"].asDict()
+                state.override(new)
+                op, entry = "add_or_update_override", new["entry_id"]
+        elif action == "disable_base_entry":
+            n = state.disable(line)
+            op, error = ("disable_base_entry", None) if n else (None, "no_hit")
+        else:
+            op = "reject"
+        if error is None:
+            state.pending[rid] = False
+        outcomes.append((line["line_no"], place, rid, action, line["owner"], line["reason"], error, op, entry, n))
+    told = spark.createDataFrame(outcomes, OUTCOME)
+    applied = told.where("error is null")
+
+    done = applied.select("review_id", F.lit("resolved").alias("_status"), F.col("owner").alias("_by"), F.col("decision").alias("_decision"), F.coalesce("reason", F.lit("")).alias("_reason"))
+    newest = queue.groupBy("review_id").agg(F.max("line_no").alias("_last"))
+    marked = queue.join(done.join(newest, "review_id"), "review_id", "left").withColumn("_hit", F.col("_status").isNotNull() & (F.col("line_no") == F.col("_last")))
+    value = {"status": F.col("_status"), "resolved_by": F.col("_by"), "decision": F.col("_decision"), "decision_reason": F.col("_reason"), "resolved_at": time}
+    kept = lambda c: F.col(c) if c in queue.columns else F.lit(None).cast("string")
+    after = marked.withColumns({c: F.when(F.col("_hit"), v).otherwise(kept(c)) for c, v in value.items()}).drop("_status", "_by", "_decision", "_reason", "_last", "_hit")
+
+    fields = [x.split()[0] for x in OVERRIDE.split(", ")]
+    new = spark.createDataFrame([tuple(r[f] for f in fields) for r in state.overrides.values()], OVERRIDE)
+    gone = spark.createDataFrame([(x,) for x in sorted(state.disabled - state.overrides.keys())], "_gone string")
+    shown = [c for c in SHOWN if c in lexicon.columns]
+    changed = lexicon.join(gone, F.col("entry_id") == F.col("_gone"), "left").join(new.select(F.col("entry_id").alias("_new")), F.col("entry_id") == F.col("_new"), "left_anti")
+    # only base rows of an id are disabled
+    off = F.col("_gone").isNotNull() & (F.col("tier") == "base")
+    rewritten = changed.select(*(F.when(off, F.lit("disabled")).otherwise(F.col("status")).alias("status") if c == "status" else F.col(c) for c in shown)).unionByName(new.select(*shown))
+    result = F.struct("op", "entry_id", "disabled_count")
+    audit = applied.select("review_id", F.col("decision").alias("action"), "owner", F.coalesce("reason", F.lit("")).alias("reason"), time.alias("applied_at"), result.alias("result"))
+    return Resolved(told, after, rewritten, audit)
+
+
+def store(resolved: Resolved, *, queue_path: str, lexicon_path: str, audit_path: str, dry_run: bool = False) -> None:
+    """Write what the decisions made: the queue and the lexicon anew, the audit appended if there is something to tell."""
+    if dry_run:
+        return
+    for df, path in ((resolved.queue, queue_path), (resolved.lexicon, lexicon_path)):
+        df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+    if not resolved.audit.isEmpty():
+        append(resolved.audit, audit_path)
+
+
+def summary(outcomes: DataFrame) -> DataFrame:
+    """Counts of the decisions, and the failed ones as ``line n: error`` in order."""
     ok = F.col("error").isNull()
-    return judged.agg(
+    failed = F.sort_array(F.collect_list(F.when(~ok, F.struct("place", "error"))))  # at most MAX_DECISIONS
+    return outcomes.agg(
         F.count(F.lit(1)).alias("total_decisions"),
         F.count_if(ok).alias("applied"),
         *(F.count_if(ok & (F.col("decision") == a)).alias(a) for a in ACTIONS),
-        F.count_if(~ok).alias("errors"),
+        F.transform(failed, lambda e: F.concat(F.lit("line "), e["place"].cast("string"), F.lit(": "), e["error"])).alias("errors"),
     )
 
 

@@ -466,39 +466,63 @@ QUEUE = """SELECT doc_id AS line_no, 'rq_' || CAST(doc_id % 300 AS STRING) AS re
 DECISIONS = """SELECT doc_id AS line_no, CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'rq_' || CAST(doc_id % 400 AS STRING) END AS review_id,
   CASE doc_id % 4 WHEN 0 THEN 'add_override' WHEN 1 THEN 'disable_base_entry' WHEN 2 THEN 'reject' ELSE CASE WHEN doc_id % 3 = 0 THEN 'oops' ELSE 'add_override' END END AS decision,
   CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'd' || CAST(doc_id % 50 AS STRING) END AS src, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 't' || CAST(doc_id AS STRING) END AS tgt FROM labels"""
-JUDGE_SQL = f"""WITH q AS ({QUEUE}), d AS ({DECISIONS}), i AS (SELECT review_id, arg_max(coalesce(status, ''), line_no) AS st FROM q GROUP BY review_id),
-e AS (SELECT d.*, CASE WHEN d.review_id = '' THEN 'no_review_id' WHEN i.st IS NULL THEN 'unknown_review_id' WHEN st <> 'pending' THEN 'not_pending' WHEN decision = 'oops' THEN 'bad_decision'
-  WHEN decision = 'add_override' AND (src IS NULL OR tgt IS NULL) THEN 'incomplete' END AS e0 FROM d LEFT JOIN i ON d.review_id = i.review_id),
-j AS (SELECT *, CASE WHEN e0 IS NOT NULL THEN e0 WHEN line_no > min(line_no) FILTER (e0 IS NULL) OVER (PARTITION BY review_id) THEN 'not_pending' END AS error FROM e)"""
+BASE_LEX = "SELECT 'b' || CAST(p_partkey AS STRING) AS entry_id, 'd' || CAST(p_partkey % 60 AS STRING) AS src, '' AS tgt, 'phrase' AS level, CASE WHEN p_partkey % 2 = 0 THEN 'base' ELSE 'core' END AS tier, 0 AS priority, 'active' AS status, '' AS source, 'seed' AS trust FROM part"
+JUDGE_SQL = f"""WITH RECURSIVE q AS ({QUEUE}), d0 AS ({DECISIONS}), l AS ({BASE_LEX}), i AS (SELECT review_id, arg_max(coalesce(status, ''), line_no) AS st FROM q GROUP BY review_id),
+b AS (SELECT src, count(*) AS n FROM l WHERE tier = 'base' GROUP BY src),
+d AS (SELECT d0.*, i.st, b.n AS n_base, row_number() OVER (ORDER BY line_no) AS k FROM d0 LEFT JOIN i ON d0.review_id = i.review_id LEFT JOIN b ON d0.src = b.src),
+f(k, line_no, error, done, gone) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) UNION ALL
+  SELECT k, line_no, e, CASE WHEN e IS NULL THEN list_append(done, review_id) ELSE done END, CASE WHEN e IS NULL AND decision = 'disable_base_entry' THEN list_append(gone, src) ELSE gone END FROM (
+  SELECT d.*, f.done, f.gone, CASE WHEN d.review_id = '' THEN 'no_review_id' WHEN st IS NULL THEN 'unknown_review_id' WHEN st <> 'pending' OR list_contains(f.done, d.review_id) THEN 'not_pending' WHEN decision = 'oops' THEN 'bad_decision'
+    WHEN decision = 'add_override' AND (src IS NULL OR tgt IS NULL) THEN 'incomplete' WHEN decision = 'disable_base_entry' AND (src IS NULL OR n_base IS NULL OR list_contains(f.gone, src)) THEN 'no_hit' END AS e FROM f JOIN d ON d.k = f.k + 1)),
+j AS (SELECT d.*, f.error FROM d JOIN f USING (k))"""
 
 
-def _judged(spark, sf_dir) -> DataFrame:
-    queue, decisions = _sql(spark, sf_dir, QUEUE, "labels"), _sql(spark, sf_dir, DECISIONS, "labels")
-    return review.judge(queue, decisions)
+def _resolved(spark, sf_dir) -> review.Resolved:
+    queue, given = _sql(spark, sf_dir, QUEUE, "labels"), _sql(spark, sf_dir, DECISIONS, "labels")
+    rest = {n: F.lit(None).cast(t) for n, t in (x.split() for x in review.decision_schema().split(", ")) if n not in given.columns}
+    return review.resolve(queue, _sql(spark, sf_dir, BASE_LEX), given.withColumns(rest), now=F.timestamp_seconds(F.lit(0)))
 
 
 @query(f"{JUDGE_SQL} SELECT line_no, review_id, error FROM j")
 def judge_decisions(spark, sf_dir):
-    return _judged(spark, sf_dir).select("line_no", "review_id", "error")
+    return _resolved(spark, sf_dir).outcomes.select("line_no", "review_id", "error")
 
 
-@query(f"{JUDGE_SQL} SELECT count(*) AS total_decisions, count(*) FILTER (error IS NULL) AS applied, count(*) FILTER (error IS NULL AND decision = 'add_override') AS add_override, count(*) FILTER (error IS NULL AND decision = 'disable_base_entry') AS disable_base_entry, count(*) FILTER (error IS NULL AND decision = 'reject') AS reject, count(*) FILTER (error IS NOT NULL) AS errors FROM j")
+@query(f"{JUDGE_SQL} SELECT count(*) AS total_decisions, count(*) FILTER (error IS NULL) AS applied, count(*) FILTER (error IS NULL AND decision = 'add_override') AS add_override, count(*) FILTER (error IS NULL AND decision = 'disable_base_entry') AS disable_base_entry, count(*) FILTER (error IS NULL AND decision = 'reject') AS reject, string_agg('line ' || k || ': ' || error, ';' ORDER BY k) FILTER (error IS NOT NULL) AS errors FROM j")
 def decision_summary(spark, sf_dir):
-    return review.summary(_judged(spark, sf_dir))
+    return review.summary(_resolved(spark, sf_dir).outcomes).withColumn("errors", F.array_join("errors", ";"))
 
 
 @query(
-    f"""{JUDGE_SQL}, l AS (SELECT 'b' || CAST(p_partkey AS STRING) AS entry_id, 'd' || CAST(p_partkey % 60 AS STRING) AS src, CASE WHEN p_partkey % 2 = 0 THEN 'base' ELSE 'core' END AS tier FROM part),
-w AS (SELECT DISTINCT src FROM j WHERE error IS NULL AND decision = 'disable_base_entry' AND src IS NOT NULL), u AS (SELECT src, tgt FROM j WHERE error IS NULL AND decision = 'add_override')
-SELECT entry_id, src, CASE WHEN tier = 'base' AND src IN (SELECT src FROM w) THEN 'disabled' ELSE 'active' END AS status FROM l
-UNION ALL SELECT DISTINCT 'lx_' || substr(sha1(src || '|' || tgt || '|phrase|manual|review_queue'), 1, 12), src, 'active' FROM u"""
+    f"""{JUDGE_SQL}, w AS (SELECT DISTINCT src FROM j WHERE error IS NULL AND decision = 'disable_base_entry'), u AS (SELECT DISTINCT src, tgt FROM j WHERE error IS NULL AND decision = 'add_override')
+SELECT entry_id, src, CASE WHEN tier = 'base' AND src IN (SELECT src FROM w) THEN 'disabled' ELSE 'active' END AS status, tier, trust FROM l
+UNION ALL SELECT 'lx_' || substr(sha1(src || '|' || tgt || '|phrase|manual|review_queue'), 1, 12), src, 'active', 'manual', 'human' FROM u"""
 )
 def apply_decisions(spark, sf_dir):
-    part = _table(spark, sf_dir, "part")
-    lex = part.selectExpr("'b' || cast(p_partkey as string) as entry_id", "'d' || cast(p_partkey % 60 as string) as src", "'' as tgt", "'phrase' as level", "case when p_partkey % 2 = 0 then 'base' else 'core' end as tier", "0 as priority", "'active' as status", "'' as source", "'seed' as trust")
-    fields = {n: F.lit(None).cast(t) for n, t in (x.split() for x in "level string, tier string, priority int, score double, status string, source string, trust string, entry_id string, owner string".split(", "))}
-    applied = _judged(spark, sf_dir).where("error is null").withColumns(fields)
-    return review.apply_to_lexicon(lex, applied).select("entry_id", "src", "status")
+    return _resolved(spark, sf_dir).lexicon.select("entry_id", "src", "status", "tier", "trust")
+
+
+@query(
+    f"""{JUDGE_SQL} SELECT q.line_no, q.review_id, CASE WHEN a.review_id IS NULL THEN q.status ELSE 'resolved' END AS status, a.decision, CASE WHEN a.review_id IS NOT NULL THEN 'reviewer' END AS resolved_by, CASE WHEN a.review_id IS NOT NULL THEN '1970-01-01T00:00:00' END AS resolved_at
+FROM q LEFT JOIN (SELECT j.review_id, j.decision, x.line_no FROM j JOIN (SELECT review_id, max(line_no) AS line_no FROM q GROUP BY review_id) x USING (review_id) WHERE error IS NULL) a ON q.review_id = a.review_id AND q.line_no = a.line_no"""
+)
+def queue_after_decisions(spark, sf_dir):
+    return _resolved(spark, sf_dir).queue.select("line_no", "review_id", "status", "decision", "resolved_by", "resolved_at")
+
+
+@query(
+    f"""{JUDGE_SQL} SELECT review_id, decision AS action, 'reviewer' AS owner, '' AS reason, '1970-01-01T00:00:00' AS applied_at, CASE decision WHEN 'add_override' THEN 'add_or_update_override' ELSE decision END AS op,
+CASE WHEN decision = 'add_override' THEN 'lx_' || substr(sha1(src || '|' || tgt || '|phrase|manual|review_queue'), 1, 12) END AS entry_id, CAST(CASE WHEN decision = 'disable_base_entry' THEN n_base END AS INT) AS disabled_count FROM j WHERE error IS NULL"""
+)
+def decision_audit(spark, sf_dir):
+    return _resolved(spark, sf_dir).audit.select("review_id", "action", "owner", "reason", "applied_at", "result.*")
+
+
+@query("""SELECT doc_id, 'rq_' || substr(sha1('{"doc_id": ' || doc_id || ', "quality": ' || quality || '}'), 1, 12) AS review_id, '1970-01-01T00:00:00' AS created_at, CASE WHEN toxic = 1 THEN NULL ELSE 'seen' END AS status FROM labels""")
+def append_review_items(spark, sf_dir):
+    canonical = F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string"), F.lit(', "quality": '), F.col("quality").cast("string"), F.lit("}"))
+    items = _table(spark, sf_dir, "labels").withColumn("status", F.when(F.col("toxic") != 1, "seen"))
+    return review.complete(items, canonical, F.timestamp_seconds(F.lit(0))).select("doc_id", "review_id", "created_at", "status")
 
 
 @query(f"WITH q AS ({QUEUE}) SELECT line_no, review_id FROM q WHERE coalesce(status, 'pending') = 'pending' ORDER BY line_no LIMIT 200")

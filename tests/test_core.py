@@ -191,15 +191,74 @@ def test_sources(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
 
-def test_decisions_in_order(spark):
+def test_decisions_in_order(spark, tmp_path):
     queue = spark.createDataFrame([(1, "q1", "pending"), (2, "q2", "pending"), (3, "q3", "resolved")], "line_no long, review_id string, status string")
     lex = spark.createDataFrame([("b1", "x", "y", "phrase", "base", 1, "active", "", "seed")], "entry_id string, src string, tgt string, level string, tier string, priority int, status string, source string, trust string")
     fields = review.decision_schema()
     line = lambda n, rid, d, **m: {f.split()[0]: None for f in fields.split(", ")} | {"line_no": n, "review_id": rid, "decision": d} | m
     lines = [line(1, None, "reject"), line(2, "q9", "reject"), line(3, "q3", "reject"), line(4, "q1", "disable_base_entry", src="zz"), line(5, "q1", "disable_base_entry", src="x"), line(6, "q1", "reject"), line(7, "q2", "add_override", src="n", tgt="m")]
-    done = review.apply_in_order(queue, lex, spark.createDataFrame(lines, fields))
-    assert (done.summary["applied"], len(done.summary["errors"])) == (2, 5)
-    assert [r["status"] for r in done.lexicon] == ["disabled", "active"] and [i["status"] for i in done.queue] == ["resolved"] * 3
+    done = review.resolve(queue, lex, spark.createDataFrame(lines, fields))
+    told = review.summary(done.outcomes).first()
+    assert told.applied == 2 and told.errors == ["line 1: no_review_id", "line 2: unknown_review_id", "line 3: not_pending", "line 4: no_hit", "line 6: not_pending"]
+    assert sorted((r.src, r.status) for r in done.lexicon.collect()) == [("n", "active"), ("x", "disabled")] and {i.status for i in done.queue.collect()} == {"resolved"}
+    paths = {f"{k}_path": f"{tmp_path}/{k}" for k in ("queue", "lexicon", "audit")}
+    for _ in range(2):
+        review.store(done, **paths)
+    review.store(done, **paths, dry_run=True)
+    assert [spark.read.json(f"{tmp_path}/{k}").count() for k in ("queue", "lexicon", "audit")] == [3, 2, 4]
+
+
+def slow_decisions(items, rows, lines):
+    """The loop that decisions stand for."""
+    items, rows, errors = {i: s for i, s in items}, [dict(r) for r in rows], []
+    for n, x in enumerate(lines, 1):
+        if not x["review_id"] or x["review_id"] not in items or items[x["review_id"]] != "pending" or x["decision"] not in review.ACTIONS:
+            errors.append(n)
+            continue
+        if x["decision"] == "add_override":
+            if not x["src"] or x["tgt"] is None:
+                errors.append(n)
+                continue
+            new = {"entry_id": x["entry_id"], "src": x["src"], "tgt": x["tgt"], "level": x["level"] or "phrase", "tier": x["tier"] or "manual", "status": "active"}
+            old = next((r for r in rows if r["entry_id"] == new["entry_id"]), None)
+            old.update(new) if old else rows.append(new)
+        elif x["decision"] == "disable_base_entry":
+            hit = [r for r in rows if r["tier"] == "base" and r["status"] != "disabled" and (x["entry_id"] and r["entry_id"] == x["entry_id"] or x["src"] and r["src"] == x["src"]) and (not x["level"] or r["level"] == x["level"])]
+            for r in hit:
+                r["status"] = "disabled"
+            if not hit:
+                errors.append(n)
+                continue
+        items[x["review_id"]] = "resolved"
+    return errors, sorted((r["entry_id"], r["src"], r["level"], r["tier"], r["status"]) for r in rows), items
+
+
+def test_decisions_that_meet_each_other(spark):
+    rng, fields = random.Random(5), review.decision_schema()
+    for _ in range(4):
+        items = [(f"q{k}", rng.choice(["pending", "pending", "resolved"])) for k in range(25)]
+        rows = [{"entry_id": f"e{k}", "src": rng.choice("abc"), "tgt": "", "level": rng.choice(["phrase", "char"]), "tier": rng.choice(["base", "base", "core"]), "priority": 0, "status": "active", "source": "", "trust": "seed"} for k in range(6)]
+        lines = []
+        for n in range(40):
+            row = {f.split()[0]: None for f in fields.split(", ")} | {"line_no": 3 * n, "review_id": rng.choice(["", None, *(f"q{k}" for k in range(28))]), "decision": rng.choice(["add_override", "disable_base_entry", "disable_base_entry", "reject", "huh"])}
+            row |= {"entry_id": f"e{rng.randrange(8)}" if row["decision"] == "add_override" else rng.choice([None, "", f"e{rng.randrange(8)}"]), "src": rng.choice([None, "a", "b", "c"]), "tgt": rng.choice([None, "t"]), "level": rng.choice([None, "phrase", "char"]), "tier": rng.choice([None, "base"])}
+            lines.append(row)
+        queue = spark.createDataFrame([(n, *i) for n, i in enumerate(items)], "line_no long, review_id string, status string")
+        lex = spark.createDataFrame([tuple(r.values()) for r in rows], "entry_id string, src string, tgt string, level string, tier string, priority int, status string, source string, trust string")
+        done = review.resolve(queue, lex, spark.createDataFrame(lines, fields))
+        errors, after, states = slow_decisions(items, rows, lines)
+        assert [r.place for r in done.outcomes.where("error is not null").orderBy("place").collect()] == errors
+        assert sorted((r.entry_id, r.src, r.level, r.tier, r.status) for r in done.lexicon.collect()) == after
+        assert {r.review_id: r.status for r in done.queue.collect()} == states
+
+
+def test_items_bring_their_own_columns(spark):
+    items = spark.createDataFrame([("x", None), ("y", "rq_1")], "kind string, review_id string")
+    got = review.complete(items, F.col("kind")).orderBy("kind").collect()
+    assert [(r.review_id, r.status) for r in got] == [(None, "pending"), ("rq_1", "pending")] and got[0].created_at
+
+
+def test_canonical_json():
     assert review.canonical_json({"b": 1, "a": "é"}) == '{"a": "é", "b": 1}'
 
 
