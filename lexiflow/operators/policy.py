@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexiflow.functions.normalize import HAN
+from lexiflow.functions.normalize import HAN, trim_outer
 from lexiflow.schema import PASSES, TIERS, TRUSTS, UNRANKED
 
 # Fixed values.
@@ -21,7 +21,7 @@ def _text(name: str) -> Column:
 
 
 def _stripped(name: str) -> Column:
-    return F.regexp_replace(_text(name), r"(?U)^\s+|\s+\z", "")
+    return trim_outer(_text(name))
 
 
 def inferred_trust() -> Column:
@@ -109,5 +109,10 @@ def entry_order() -> list[Column]:
     return [tier_index().asc(), F.col("priority").desc(), F.length("src").desc(), F.col("score").desc(), F.col("entry_id").asc()]
 
 
+def sort_key() -> list[Column]:
+    """The same order as ascending columns, for structs."""
+    return [tier_index().alias("_tier"), (-F.col("priority")).alias("_priority"), (-F.length("src")).alias("_length"), (-F.col("score")).alias("_score"), F.col("entry_id")]
+
+
 def rule_order() -> list[Column]:
     return [pass_index().asc(), F.col("priority").desc(), F.col("rule_id").asc()]

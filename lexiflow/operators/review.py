@@ -11,8 +11,10 @@ import json
 from collections import defaultdict
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lexiflow.functions.ids import entry_id, review_id
 from lexiflow.operators.policy import trust
@@ -23,16 +25,16 @@ TIME = "yyyy-MM-dd'T'HH:mm:ss"
 ACTIONS = ("add_override", "disable_base_entry", "reject")
 
 
-def with_ids(queue: DataFrame, canonical: str = "canonical") -> DataFrame:
+def with_ids(queue: DataFrame, canonical_col: str = "canonical") -> DataFrame:
     """Items without an id get one from their canonical JSON."""
     given = F.when(F.coalesce("review_id", F.lit("")) != "", F.col("review_id"))
-    return queue.withColumn("review_id", F.coalesce(given, review_id(F.col(canonical))))
+    return queue.withColumn("review_id", F.coalesce(given, review_id(F.col(canonical_col))))
 
 
-def complete(items: DataFrame, canonical: Column, now: Column | None = None) -> DataFrame:
+def complete(items: DataFrame, as_json: Column, now: Column | None = None) -> DataFrame:
     """Items as rows of the queue. What an item brings itself counts, also a null; else it gets an id
     from its canonical JSON, the time, and the status pending."""
-    given = {"review_id": review_id(canonical), "created_at": F.date_format(now if now is not None else F.current_timestamp(), TIME), "status": F.lit("pending")}
+    given = {"review_id": review_id(as_json), "created_at": F.date_format(now if now is not None else F.current_timestamp(), TIME), "status": F.lit("pending")}
     return items.withColumns({k: v for k, v in given.items() if k not in items.columns})
 
 
@@ -41,6 +43,12 @@ def append(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
 
 
+@F.pandas_udf(StringType())
+def canonical(value: pd.Series) -> pd.Series:
+    """JSON texts with sorted keys and the separators that ids are made of."""
+    return value.map(lambda v: None if v is None else canonical_json(json.loads(v)))
+
+
 def canonical_json(item: dict) -> str:
     return json.dumps(item, ensure_ascii=False, sort_keys=True)
 
@@ -56,8 +64,7 @@ def import_unresolved(rows: DataFrame, owner: str = "migration", reason: str = "
     return kept.select(F.lit("offline_unresolved").alias("kind"), F.lit("add_override").alias("action"), F.lit(owner).alias("owner"), F.lit(reason).alias("reason"), F.col("value").alias("evidence"), F.lit("pending").alias("status"))
 
 
-SHOWN = ["entry_id", "src", "tgt", "level", "tier", "priority", "status", "source", "trust"]
-OVERRIDE = "entry_id string, src string, tgt string, level string, tier string, priority int, score double, status string, source string, trust string, updated_by string"
+OVERRIDE = "entry_id string, src string, tgt string, level string, tier string, priority int, context string, score double, status string, source string, trust string, updated_by string"
 OUTCOME = "line_no long, place int, review_id string, decision string, owner string, reason string, error string, op string, entry_id string, disabled_count int"
 
 
@@ -77,7 +84,7 @@ class _State:
     rows: dict[str, list[dict]] = field(default_factory=lambda: defaultdict(list))  # by id
     of_src: dict[str, list[dict]] = field(default_factory=lambda: defaultdict(list))
     overrides: dict[str, dict] = field(default_factory=dict)
-    disabled: set[str] = field(default_factory=set)
+    disabled: dict[str, str] = field(default_factory=dict)  # to who did it
 
     def add(self, row: dict) -> None:
         self.rows[row["entry_id"]].append(row)
@@ -92,14 +99,14 @@ class _State:
         else:
             self.add(dict(entry))
         self.overrides[entry["entry_id"]] = self.rows[entry["entry_id"]][0]
-        self.disabled.discard(entry["entry_id"])
+        self.disabled.pop(entry["entry_id"], None)
 
     def disable(self, line: dict) -> int:
         named = self.rows.get(line["entry_id"] or "", []) + (self.of_src.get(line["src"], []) if line["src"] else [])
         hits = {id(r): r for r in named if r["tier"] == "base" and r["status"] != "disabled" and line["level"] in (None, "", r["level"])}
         for r in hits.values():
             r["status"] = "disabled"
-            self.disabled.add(r["entry_id"])
+            self.disabled[r["entry_id"]] = line["owner"]
         return len(hits)
 
 
@@ -174,23 +181,29 @@ def resolve(queue: DataFrame, lexicon: DataFrame, decisions: DataFrame, *, owner
     after = marked.withColumns({c: F.when(F.col("_hit"), v).otherwise(kept(c)) for c, v in value.items()}).drop("_status", "_by", "_decision", "_reason", "_last", "_hit")
 
     fields = [x.split()[0] for x in OVERRIDE.split(", ")]
-    new = spark.createDataFrame([tuple(r[f] for f in fields) for r in state.overrides.values()], OVERRIDE)
-    gone = spark.createDataFrame([(x,) for x in sorted(state.disabled - state.overrides.keys())], "_gone string")
-    shown = [c for c in SHOWN if c in lexicon.columns]
+    new = spark.createDataFrame([tuple(r.get(f) for f in fields) for r in state.overrides.values()], OVERRIDE).withColumn("updated_at", time)
+    if "context" in lexicon.columns:
+        new = new.withColumn("context", F.from_json("context", lexicon.schema["context"].dataType))
+    gone = spark.createDataFrame([x for x in sorted(state.disabled.items()) if x[0] not in state.overrides], "_gone string, _by string")
     changed = lexicon.join(gone, F.col("entry_id") == F.col("_gone"), "left").join(new.select(F.col("entry_id").alias("_new")), F.col("entry_id") == F.col("_new"), "left_anti")
     # only base rows of an id are disabled
     off = F.col("_gone").isNotNull() & (F.col("tier") == "base")
-    rewritten = changed.select(*(F.when(off, F.lit("disabled")).otherwise(F.col("status")).alias("status") if c == "status" else F.col(c) for c in shown)).unionByName(new.select(*shown))
+    to = {"status": F.lit("disabled"), "updated_by": F.col("_by"), "updated_at": time}
+    changed = changed.select(*(F.when(off, to[c]).otherwise(F.col(c)).alias(c) if c in to else F.col(c) for c in lexicon.columns))
+    rewritten = changed.unionByName(new.select(*(c for c in new.columns if c in lexicon.columns)), allowMissingColumns=True)
     result = F.struct("op", "entry_id", "disabled_count")
     audit = applied.select("review_id", F.col("decision").alias("action"), "owner", F.coalesce("reason", F.lit("")).alias("reason"), time.alias("applied_at"), result.alias("result"))
     return Resolved(told, after, rewritten, audit)
 
 
 def store(resolved: Resolved, *, queue_path: str, lexicon_path: str, audit_path: str, dry_run: bool = False) -> None:
-    """Write what the decisions made: the queue and the lexicon anew, the audit appended if there is something to tell."""
+    """Write what the decisions made: the queue and the lexicon anew, the audit appended if there is something to tell.
+
+    What is written may replace what it was read from, so it is checkpointed first: the session needs a checkpoint folder."""
     if dry_run:
         return
-    for df, path in ((resolved.queue, queue_path), (resolved.lexicon, lexicon_path)):
+    written = [(df.checkpoint(), path) for df, path in ((resolved.queue, queue_path), (resolved.lexicon, lexicon_path))]
+    for df, path in written:
         df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
     if not resolved.audit.isEmpty():
         append(resolved.audit, audit_path)

@@ -112,20 +112,54 @@ def compile_lexicon(entries: DataFrame, core: DataFrame, allowlist: DataFrame, r
     found = lints.masked_rules(rules), lints.regex_hazards(rules), lints.conflicting_rules(rules)
     if fail_on_lint and any(not x.isEmpty() for x in found):
         raise ValueError("the rules have lint findings")
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    manifest = judged.agg(
-        F.count(F.lit(1)).alias("entry_count"),
-        count_if("reason is null").alias("runtime_entry_count"),
-        count_if("reason is not null").alias("runtime_excluded_entry_count"),
-        count_if("reason is null and status = 'active'").alias("active_entry_count"),
-        count_if("reason = 'core_identity_protected_term'").alias("core_identity_protected_entry_count"),
-        count_if("reason = 'identity_passthrough_masked'").alias("identity_passthrough_protected_entry_count"),
-    )
-    for df, name in ((core, "core_entry_count"), (rules, "rule_count"), (rules.where("enabled"), "active_rule_count"), (protected, "protected_term_count"), (residual, "residual_core_term_count"), (found[0], "mask_warning_count"), (found[1], "regex_hazard_count"), (found[2], "pipeline_conflict_count")):
-        manifest = manifest.crossJoin(one(df, name))  # one row by one row
+    manifest = manifest_of(judged, core, rules, protected, residual, found)
     return Compiled(ranked.orderBy(*policy.entry_order()), judged.where("reason is not null").select("entry_id", "reason"), protected, every_term, rules.orderBy(*policy.rule_order()), manifest.withColumn("lexicon_stage", F.lit(LEXICON_STAGE)))
 
 
+MANIFEST = {
+    "entry_count": "true",
+    "runtime_entry_count": "reason is null",
+    "runtime_excluded_entry_count": "reason is not null",
+    "active_entry_count": "reason is null and status = 'active'",
+    "core_identity_protected_entry_count": "reason = 'core_identity_protected_term'",
+    "identity_passthrough_protected_entry_count": "reason = 'identity_passthrough_masked'",
+}
+
+
+def manifest_of(judged: DataFrame, core: DataFrame, rules: DataFrame, protected: DataFrame, residual: DataFrame, found: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """One row of counts. Each relation is counted once, in a branch of its own, and the branches' few rows meet in one sum."""
+    counts = judged.agg(*(count_if(test).alias(name) for name, test in MANIFEST.items()))
+    of_rules = rules.agg(F.count(F.lit(1)).alias("rule_count"), count_if("enabled").alias("active_rule_count"))
+    others = zip(("core_entry_count", "protected_term_count", "residual_core_term_count", "mask_warning_count", "regex_hazard_count", "pipeline_conflict_count"), (core, protected, residual, *found))
+    parts = [counts, of_rules, *(df.agg(F.count(F.lit(1)).alias(name)) for name, df in others)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part, allowMissingColumns=True)
+    return every.agg(*(F.sum(c).alias(c) for c in every.columns))
+
+
+def grouped_entries(active: DataFrame) -> DataFrame:
+    """(kind, src, entry_ids): active entries by source text, in the order of entries: sentence overrides, contextual ones and characters."""
+    kinds = {"sentence": policy.is_sentence_override(), "context": policy.is_trusted_manual() & policy.has_context(), "char": F.col("level") == "char"}
+    order = policy.sort_key()
+    tagged = active.withColumn("kind", F.explode(F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in kinds.items())))))
+    ids = F.sort_array(F.collect_list(F.struct(*order)))
+    return tagged.groupBy("kind", "src").agg(F.transform(ids, lambda e: e["entry_id"]).alias("entry_ids"))
+
+
+def max_phrase_length(entries: DataFrame) -> DataFrame:
+    """(n): the longest source text of active phrases and sentences without context; 0 without any."""
+    kept = entries.where("level in ('phrase', 'sentence') and status = 'active'").where(~policy.has_context())
+    return kept.agg(F.coalesce(F.max(F.length("src")), F.lit(0)).alias("n"))
+
+
+def migration_stats(migrated: DataFrame, phrases: DataFrame, chars: DataFrame) -> DataFrame:
+    """One row: entries written, source rows of phrases and of characters, and active characters."""
+    made = migrated.agg(F.count(F.lit(1)).alias("lexicon_entries"), count_if("level = 'char' and status = 'active'").alias("char_active"))
+    every = made.unionByName(phrases.agg(F.count(F.lit(1)).alias("phrase_entries")), allowMissingColumns=True).unionByName(chars.agg(F.count(F.lit(1)).alias("char_entries")), allowMissingColumns=True)
+    return every.agg(*(F.sum(c).alias(c) for c in ("lexicon_entries", "phrase_entries", "char_entries", "char_active")))
+
+
 def excluded_reasons(judged: DataFrame) -> DataFrame:
     return judged.where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 

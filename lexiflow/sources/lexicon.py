@@ -4,25 +4,32 @@ Any path that Spark reads will do. Missing paths give empty relations where note
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from lexiflow.functions.ids import entry_id
+from lexiflow.functions.ids import entry_id, rule_id
+from lexiflow.functions.normalize import trim_outer
 from lexiflow.operators.policy import trust
-from lexiflow.schema import DECISION, ENTRY, LEVELS, REVIEW, RULE
+from lexiflow.operators.review import canonical, with_ids
+from lexiflow.schema import DECISION, ENTRY, LEVELS, PASSES, REVIEW, RULE
 
 
 def _lines(spark: SparkSession, path: str, missing_ok: bool) -> DataFrame:
-    """(line_no, value) of trimmed, non-empty lines; line numbers grow with the place in the input."""
+    """(line_no, value) of trimmed, non-empty lines. Line numbers count the lines of all files in the order of
+    their names, however the files are split: a block's lines are numbered from where the blocks before it end."""
     try:
-        text = spark.read.text(path)
+        text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
     except AnalysisException as e:
         if not missing_ok or e.getCondition() != "PATH_NOT_FOUND":
             raise
-        text = spark.createDataFrame([], "value string")
-    trimmed = F.regexp_replace("value", r"(?U)^\s+|\s+\z", "")
-    return text.select(F.monotonically_increasing_id().alias("line_no"), trimmed.alias("value")).where("value <> ''")
+        return spark.createDataFrame([], "line_no long, value string")
+    # one row a block: few, whatever their size
+    blocks = text.groupBy("_file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = text.join(F.broadcast(blocks.select("_file", "_block", "_first", before.alias("_before"))), ["_file", "_block"])
+    line_no = (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("line_no")
+    return placed.select(line_no, trim_outer(F.col("value")).alias("value")).where("value <> ''")
 
 
 def parsed(value: Column, schema: str, strict: bool) -> Column:
@@ -63,7 +70,7 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 def core_entries(rows: DataFrame) -> DataFrame:
     """Rows of a core lexicon (ENTRY's columns) with its defaults; the tier is always core."""
-    strip = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)^\s+|\s+\z", "")
+    strip = lambda c: trim_outer(F.coalesce(F.col(c), F.lit("")))
     level = F.coalesce("level", F.lit("phrase"))
     rows = rows.withColumns({"src": strip("src"), "tgt": strip("tgt"), "level": level, "tier": F.lit("core")})
     bad = (F.col("src") == "") | (F.col("tgt") == "") | ~F.col("level").isin(*LEVELS)
@@ -87,7 +94,7 @@ def read_core(spark: SparkSession, path: str) -> DataFrame:
 
 def terms_of(lines: DataFrame) -> DataFrame:
     """(term) of a column ``value``: stripped, distinct, without comments."""
-    term = F.regexp_replace("value", r"(?U)^\s+|\s+\z", "")
+    term = trim_outer(F.col("value"))
     return lines.select(term.alias("term")).where((F.col("term") != "") & ~F.col("term").startswith("#")).distinct()
 
 
@@ -101,7 +108,11 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    return read_jsonl(spark, path, REVIEW)
+    """Queue rows; evidence is kept as JSON. Items without an id get one from the whole line."""
+    lines = _lines(spark, path, True).where(~F.col("value").startswith("#"))
+    rows = lines.select("line_no", "value", parsed(F.col("value"), REVIEW, True).alias("r")).select("line_no", "value", "r.*")
+    lacking = F.coalesce("review_id", F.lit("")) == ""
+    return with_ids(rows.withColumn("canonical", F.when(lacking, canonical(F.when(lacking, F.col("value")))))).drop("value", "canonical")
 
 
 def decode_entry_table(artifact: DataFrame) -> DataFrame:
@@ -111,6 +122,63 @@ def decode_entry_table(artifact: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(kinds), "_kind").select("place", F.col("id").alias("entry_id"), "src", "tgt", "level", "tier", "trust", F.coalesce("priority", "_p").alias("priority"), F.coalesce("score", "_s").alias("score"))
 
 
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """(value) of a JSON document of any layout, one row a file."""
+    return spark.read.text(path, wholetext=True)
+
+
+def entry_refs(raw: Column, size: int) -> Column:
+    """A reference to entries (a place, an entry's id, or a list of both; as JSON text) as an array of (place, id) of
+    which one is set; places beyond the table of that size and what is neither are left out."""
+    listed = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.array(raw))
+    one = lambda r: F.struct(F.when(r.rlike(r"^-?[0-9]{1,9}$"), r.cast("int")).alias("place"), F.when(~r.rlike(r"^-?[0-9]{1,9}$"), r).alias("id"))
+    return F.filter(F.transform(F.coalesce(listed, F.array().cast("array<string>")), one), lambda r: r["id"].isNotNull() | r["place"].between(0, size - 1))
+
+
+def _resolved_refs(keyed: DataFrame, raw: str, entries: DataFrame) -> DataFrame:
+    """keyed with column place: a row for each entry that the references name, in their order (column at). entries: (place, entry_id)."""
+    size = entries.count()
+    rows = keyed.select("*", F.posexplode(entry_refs(F.col(raw), size)).alias("at", "_r"))
+    named = entries.select(F.col("place").alias("_place"), F.col("entry_id").alias("_id"))
+    joined = rows.join(named, F.col("_r.id") == F.col("_id"), "left").withColumn("place", F.coalesce("_r.place", "_place"))
+    return joined.where("place is not null").drop("_r", "_id", "_place", raw)
+
+
+def decode_char_map(document: DataFrame, entries: DataFrame) -> DataFrame:
+    """(src, at, place) of a character map, compact (m) or legacy (map); document: (value)."""
+    got = document.select(F.from_json("value", "m map<string,string>, map map<string,string>").alias("d"))
+    keyed = got.select(F.explode(F.coalesce("d.m", "d.map")).alias("src", "_raw")).where("src <> ''")
+    return _resolved_refs(keyed, "_raw", entries)
+
+
+def decode_override_index(document: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, at, place) of sentence overrides and (at, place) of contextual ones, compact (s, c) or legacy."""
+    got = document.select(F.from_json("value", "s map<string,string>, c string, sentence_override_map map<string,string>, contextual_override_ids string").alias("d"))
+    keyed = got.select(F.explode(F.coalesce("d.s", "d.sentence_override_map")).alias("src", "_raw")).where("src <> ''")
+    listed = got.select(F.coalesce("d.c", "d.contextual_override_ids", F.lit("[]")).alias("_raw"))
+    return _resolved_refs(keyed, "_raw", entries), _resolved_refs(listed, "_raw", entries)
+
+
+def decode_rule_plan(document: DataFrame) -> DataFrame:
+    """Rules (RULE's columns and place, the place within the pass) of a rule plan: rows of [pattern, replacement, 1 for a regex, priority] by
+    pass (r), or the legacy form, passes by name with objects (id, k, p, r, priority, enabled, note)."""
+    legacy = "struct<id:string,k:string,p:string,r:string,rule_id:string,type:string,pattern:string,replacement:string,priority:int,enabled:boolean,note:string>"
+    got = document.select(F.from_json("value", f"r array<array<array<string>>>, rules map<string,array<{legacy}>>").alias("d"))
+    rows = got.select(F.posexplode("d.r").alias("_pass", "_rows")).where(F.col("_pass") < len(PASSES)).select(F.element_at(F.array(*map(F.lit, PASSES)), F.col("_pass") + 1).alias("pass_name"), F.posexplode("_rows").alias("place", "x"))
+    compact = rows.where("size(x) >= 2").select(
+        "pass_name", "place", F.col("x")[0].alias("pattern"), F.col("x")[1].alias("replacement"),
+        F.when(F.get("x", F.lit(2)) == "1", "regex").otherwise("literal").alias("type"), F.coalesce(F.get("x", F.lit(3)).cast("int"), F.lit(0)).alias("priority"), F.lit(True).alias("enabled"), F.lit("").alias("note"),
+    ).withColumn("rule_id", rule_id(F.col("pass_name"), F.col("pattern"), F.col("replacement")))
+    old = got.select(F.explode("d.rules").alias("pass_name", "_rows")).select("pass_name", F.posexplode("_rows").alias("place", "x"))
+    short = F.col("x.id").isNotNull() & F.col("x.p").isNotNull()
+    kind = F.when(short, F.when(F.col("x.k") == "r", "regex").otherwise("literal")).otherwise(F.coalesce("x.type", F.lit("literal")))
+    named = old.select(
+        "pass_name", "place", F.coalesce("x.p", "x.pattern").alias("pattern"), F.coalesce("x.r", "x.replacement", F.lit("")).alias("replacement"), kind.alias("type"),
+        F.coalesce("x.priority", F.lit(0)).alias("priority"), F.coalesce("x.enabled", F.lit(True)).alias("enabled"), F.coalesce("x.note", F.lit("")).alias("note"), F.coalesce("x.id", "x.rule_id").alias("rule_id"),
+    )
+    return compact.unionByName(named)
+
+
 def write_jsonl(df: DataFrame, path: str, *, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
