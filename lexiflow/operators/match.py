@@ -26,14 +26,17 @@ def trie_pattern(words: list[str]) -> str:
             node = node.setdefault(c, {})
         node[""] = {}
 
-    def write(node: dict) -> str:
-        arms = [re.escape(c) + write(child) for c, child in sorted(node.items()) if c]
-        if not arms:
-            return ""
-        body = arms[0] if len(arms) == 1 else "(?:" + "|".join(arms) + ")"
-        return f"(?:{body})?" if "" in node else body
-
-    return write(root)
+    # deepest nodes first, without recursion: words may be long
+    order, waiting = [], [root]
+    while waiting:
+        order.append(node := waiting.pop())
+        waiting += [child for c, child in node.items() if c]
+    written: dict[int, str] = {}
+    for node in reversed(order):
+        arms = [re.escape(c) + written.pop(id(child)) for c, child in sorted(node.items()) if c]
+        body = "" if not arms else arms[0] if len(arms) == 1 else "(?:" + "|".join(arms) + ")"
+        written[id(node)] = f"(?:{body})?" if arms and "" in node else body
+    return written[id(root)]
 
 
 def best_entries(entries: DataFrame) -> DataFrame:

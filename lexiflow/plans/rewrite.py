@@ -15,9 +15,8 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +28,7 @@ from lexiflow.schema import HIT, MATCH
 
 MAX_ENTRIES = 2_000_000
 PRIVATE = range(0xE000, 0xF900)
-RESULT = f"output string, matches array<{MATCH}>, rules_applied array<{HIT}>, warnings array<string>"
+RESULT = f"output string, match_count int, matches array<{MATCH}>, rules_applied array<{HIT}>, warnings array<string>"
 SHOWN = ("entry_id", "src", "tgt", "level", "tier")
 
 
@@ -39,27 +38,49 @@ def _wins(entry: dict) -> tuple:
 
 
 class Table:
-    """Source texts with their entries, best first, and which lengths begin with a character."""
+    """Source texts with their entries, best first. Those that are looked for within texts (scan) also have a pattern
+    of the leftmost-longest ones, one of all starts, and the lengths that begin with a character."""
 
-    def __init__(self, entries: list[dict]):
+    def __init__(self, entries: list[dict], scan: bool = True):
         self.of: dict[str, list[dict]] = defaultdict(list)
         for e in sorted(entries, key=_wins):
             if e["src"]:
                 self.of[e["src"]].append(e)
+        self.of.default_factory = None
+        if not scan or not self.of:
+            self.longest = self.starts = None
+            return
         lengths = defaultdict(set)
         for src in self.of:
             lengths[src[0]].add(len(src))
         self.lengths = {c: sorted(n) for c, n in lengths.items()}
-        self.scan = re.compile(f"(?={trie_pattern(list(self.of))})") if self.of else None
+        self.most = max(map(len, self.of))
+        pattern = trie_pattern(list(self.of))
+        self.longest, self.starts = re.compile(pattern), re.compile(f"(?={pattern})")
 
     def found(self, text: str) -> Iterator[tuple[int, int]]:
         """All occurrences, by start, then length."""
-        for m in self.scan.finditer(text) if self.scan else ():
+        for m in self.starts.finditer(text) if self.starts else ():
             start = m.start()
             for n in self.lengths[text[start]]:
                 if text[start : start + n] in self.of and start + n <= len(text):
                     yield start, start + n
 
+    def chosen(self, text: str, low: int = 0, high: int | None = None) -> Iterator[tuple[int, int]]:
+        """Leftmost-longest occurrences within the bounds."""
+        for m in self.longest.finditer(text, low, len(text) if high is None else high) if self.longest else ():
+            yield m.span()
+
+    def crosses(self, text: str, edge: int) -> bool:
+        """Whether an occurrence begins before the edge and ends behind it."""
+        if not self.starts:
+            return False
+        for start in range(max(0, edge - self.most + 1), edge):
+            for n in self.lengths.get(text[start], ()):
+                if start + n > edge and text[start : start + n] in self.of:
+                    return True
+        return False
+
 
 def fits(text: str, start: int, end: int, context: dict | None) -> bool:
     """Whether what surrounds a span meets all conditions of a context."""
@@ -103,12 +124,21 @@ class Runtime:
         self.phrases = Table([e for e in phrases if e["tier"] != "blocked"])
         self.chars = Table([e for e in chars if len(e["src"]) == 1])
         self.blocked = Table(blocked(phrases) + [e for e in blocked(chars) if len(e["src"]) == 1])
-        self.blocked_whole = Table([e for e in blocked(active) if e["level"] == "sentence"])
-        self.overrides = Table([e for e in active if override(e)])
+        self.blocked_whole = Table([e for e in blocked(active) if e["level"] == "sentence"], scan=False)
+        self.overrides = Table([e for e in active if override(e)], scan=False)
         self.contextual = Table([e for e in active if e["context"] and e["tier"] in ("manual", "manual_hotfix") and e["trust"] == "human"])
         self.terms = Table([{"src": t, "layer_rank": 0, "priority": 0, "score": 0.0, "entry_id": t} for t in self.protected if len(t) > 1])
         self.steps = [(r, rule_ops.python_rule(r)) for r in self.rules if not (self.options.preserve_spacing and r["pass_name"] == "normalization")]
         self.masks = [re.compile(p) for p in self.options.regex_masks]
+        self.scopes: dict[tuple, Table] = {}
+
+    def within(self, low: int, high: int | None, chars: bool) -> Table:
+        """Phrases, and with chars characters, whose lengths are in scope."""
+        key = low, high, chars
+        if key not in self.scopes:
+            tables = [self.phrases, *([self.chars] if chars else [])]
+            self.scopes[key] = Table([e for t in tables for src, es in t.of.items() if len(src) >= low and (high is None or len(src) <= high) for e in es])
+        return self.scopes[key]
 
     @staticmethod
     def choose(candidates: dict[int, list[tuple[int, dict]]], reserved: list[tuple[int, int]]) -> list[tuple[int, int, dict]]:
@@ -128,6 +158,8 @@ class Runtime:
         return chosen
 
     def reserve(self, text: str) -> list[tuple[int, int, dict]]:
+        if text not in self.blocked_whole.of:
+            return [(a, b, self.blocked.of[text[a:b]][0]) for a, b in self.blocked.chosen(text)]
         found = defaultdict(list)
         for start, end in self.blocked.found(text):
             found[start].append((end, self.blocked.of[text[start:end]][0]))
@@ -152,16 +184,22 @@ class Runtime:
         scope = lambda n: n >= low and (high is None or n <= high)
         if sentences and scope(len(text)) and (e := self.whole(text, blocked)):
             return e["tgt"] or "", [self.trace(0, len(text), e)], warnings
-        found = defaultdict(list)
-        for table in (self.phrases, *([self.chars] if chars else [])):
+        table = self.within(low, high, chars)
+        walls = [(a, b) for a, b, _ in blocked]
+        near = [(a, b, [e for e in self.contextual.of[text[a:b]] if fits(text, a, b, e["context"])]) for a, b in self.contextual.found(text) if scope(b - a)]
+        if any(es for _, _, es in near):
+            found = defaultdict(list)
             for start, end in table.found(text):
-                if scope(end - start):
-                    found[start].append((end, table.of[text[start:end]][0]))
-        for start, end in self.contextual.found(text):
-            if scope(end - start):
-                found[start] += [(end, e) for e in self.contextual.of[text[start:end]] if fits(text, start, end, e["context"])]
+                found[start].append((end, table.of[text[start:end]][0]))
+            for start, end, es in near:
+                found[start] += [(end, e) for e in es]
+            chosen = self.choose(found, walls)
+        else:
+            # what is chosen lies between reserved spans, and is there what the pattern finds
+            edges = zip([0, *(b for _, b in walls)], [*(a for a, _ in walls), len(text)])
+            chosen = [(a, b, table.of[text[a:b]][0]) for low_, high_ in edges for a, b in table.chosen(text, low_, high_)]
         out, at, traces = [], 0, []
-        for start, end, e in self.choose(found, [(a, b) for a, b, _ in blocked]):
+        for start, end, e in chosen:
             out += [text[at:start], e["tgt"] or ""]
             traces.append(self.trace(start, end, e))
             at = end
@@ -184,13 +222,10 @@ class Runtime:
         longest = {}
         for start, end in self.terms.found(text):
             longest[start] = end
+        if not longest:
+            return text, held
         # a phrase overlaps a span without lying in it exactly if it goes across one of the span's edges
-        across = [0] * (len(text) + 2)
-        for start, end in self.all_phrases.found(text) if heed_phrases and longest else ():
-            across[start + 1] += 1
-            across[end] -= 1
-        across = list(accumulate(across))
-        crossed = lambda a, b: across[a] > 0 or across[b] > 0
+        crossed = lambda a, b: heed_phrases and (self.all_phrases.crosses(text, a) or self.all_phrases.crosses(text, b))
         out, at = [], 0
         for start, end in sorted(longest.items()):
             if start >= at and (end - start == len(text) or not crossed(start, end)):
@@ -206,7 +241,7 @@ class Runtime:
                 hits.append({k: rule[k] for k in ("rule_id", "pass_name", "type", "pattern", "replacement")} | {"hit_count": n})
         return text, hits
 
-    def convert(self, text: str) -> dict:
+    def convert(self, text: str, trace: bool = True) -> dict:
         """text is normalised."""
         if exact := self.whole(text, blocked := self.reserve(text)):
             masked, held = self.mask(exact["tgt"] or "", heed_phrases=False)
@@ -227,7 +262,7 @@ class Runtime:
         warnings = warnings + [f"{'核心漏轉' if core else '華語殘留'}:{term}" for term, core in self.residual if term in done]
         for token in sorted(held, key=len, reverse=True):
             done = done.replace(token, held[token])
-        return {"output": done, "matches": matches, "rules_applied": hits, "warnings": warnings}
+        return {"output": done, "match_count": len(matches), "matches": matches if trace else None, "rules_applied": hits, "warnings": warnings}
 
 
 def build_runtime(compiled: Compiled, options: Options | None = None) -> Runtime:
@@ -244,19 +279,46 @@ def build_runtime(compiled: Compiled, options: Options | None = None) -> Runtime
     )
 
 
-def rewrite(df: DataFrame, runtime: Runtime, *, text_col: str = "text", result_col: str = "result") -> DataFrame:
-    """df with a struct of RESULT; null texts give a null struct's fields."""
-    held = df.sparkSession.sparkContext.broadcast((runtime.entries, runtime.protected, runtime.rules, runtime.residual, runtime.options))
+class _Source:
+    """What a runtime is built from. A worker builds it once and keeps it with the broadcast value."""
+
+    def __init__(self, *parts):
+        self.parts, self.built = parts, None
+
+    def __getstate__(self):
+        return self.parts
+
+    def __setstate__(self, parts):
+        self.__init__(*parts)
+
+    def runtime(self) -> Runtime:
+        if self.built is None:
+            self.built = Runtime(*self.parts)
+        return self.built
+
+
+FIELDS = [
+    ("output", pa.string()),
+    ("match_count", pa.int32()),
+    ("matches", pa.list_(pa.struct([(n, {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[t]) for n, t in (x.split(":") for x in MATCH[7:-1].split(","))]))),
+    ("rules_applied", pa.list_(pa.struct([(n, pa.int32() if t == "int" else pa.string()) for n, t in (x.split(":") for x in HIT[7:-1].split(","))]))),
+    ("warnings", pa.list_(pa.string())),
+]
+
+
+def rewrite(df: DataFrame, runtime: Runtime, *, text_col: str = "text", result_col: str = "result", trace: bool = True) -> DataFrame:
+    """df with a struct of RESULT; null texts give a null struct's fields. Without trace the matches are counted, not listed."""
+    held = df.sparkSession.sparkContext.broadcast(_Source(runtime.entries, runtime.protected, runtime.rules, runtime.residual, runtime.options))
 
-    @F.pandas_udf(RESULT)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = Runtime(*held.value)
-        empty = {"output": None, "matches": None, "rules_applied": None, "warnings": None}
-        for batch in batches:
-            yield pd.DataFrame([empty if t is None else own.convert(t) for t in batch], columns=list(empty), dtype=object)
+    def run(texts: pa.Array) -> pa.Array:
+        own = held.value.runtime()
+        done = [{} if not t.is_valid else own.convert(t.as_py(), trace) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([d.get(n) for d in done], k) for n, k in FIELDS], names=[n for n, _ in FIELDS])
 
     spaced = runtime.options.preserve_spacing
-    return df.withColumn(result_col, run(normalize_text(F.col(text_col), compress_spaces=not spaced, trim=not spaced)))
+    # were it deterministic, Spark would evaluate it once more for each filter on the result
+    converted = F.arrow_udf(run, RESULT).asNondeterministic()
+    return df.withColumn(result_col, converted(normalize_text(F.col(text_col), compress_spaces=not spaced, trim=not spaced)))
 
 
 def low_confidence(df: DataFrame, *, text_col: str = "text", result_col: str = "result", owner: str = "runtime") -> DataFrame:

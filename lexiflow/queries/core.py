@@ -452,8 +452,8 @@ def demo_runtime(spark: SparkSession) -> rw.Runtime:
 
 @query()
 def rewrite_full(spark, sf_dir):
-    done = rw.rewrite(_table(spark, sf_dir, "documents"), demo_runtime(spark))
-    return done.select("doc_id", F.col("result.output").alias("output"), F.size("result.matches").alias("n_matches"), F.col("result.warnings").alias("warnings"), F.transform("result.rules_applied", lambda r: F.concat_ws(":", r["rule_id"], r["hit_count"].cast("string"))).alias("rules"))
+    done = rw.rewrite(_table(spark, sf_dir, "documents"), demo_runtime(spark), trace=False)
+    return done.select("doc_id", F.col("result.output").alias("output"), F.col("result.match_count").alias("n_matches"), F.col("result.warnings").alias("warnings"), F.transform("result.rules_applied", lambda r: F.concat_ws(":", r["rule_id"], r["hit_count"].cast("string"))).alias("rules"))
 
 
 @query()

@@ -278,3 +278,33 @@ def test_latency_of_few_rows(spark):
         df = spark.createDataFrame([(v,) for v in values], "v double")
         n = len(values)
         assert stats.latency(df, "v").first().p95_ms == sorted(values)[max(int(0.95 * n) - 1, 0)] == want or n == 3
+
+
+def test_layers_equal_the_choice_among_all_candidates():
+    rng = random.Random(11)
+    for _ in range(60):
+        word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+        rows = [{**entry(word(rng.randint(2, 5)), str(k)), "layer_rank": 5, "entry_id": str(k)} for k in range(8)]
+        rows += [{**entry(word(rng.randint(1, 3)), "", tier="blocked"), "layer_rank": 0, "entry_id": f"b{k}"} for k in range(rng.randint(0, 2))]
+        rows += [{**entry(rng.choice("abc"), "C", level="char"), "layer_rank": 7, "entry_id": "c"}]
+        rows += [{**entry(word(2), "X", tier="manual", trust="human", context={"left_literal": rng.choice("abc")}), "layer_rank": 2, "entry_id": "x"}] * rng.randint(0, 1)
+        runtime = rw.Runtime([dict(r) for r in rows], [], [], [])
+        for _ in range(20):
+            text, (low, high, chars) = word(rng.randint(0, 14)), rng.choice([(2, None, False), (1, 1, True), (1, None, True)])
+            blocked = runtime.reserve(text)
+            found = {}
+            for table in (runtime.phrases, *([runtime.chars] if chars else [])):
+                for a, b in table.found(text):
+                    if low <= b - a <= (high or 99):
+                        found.setdefault(a, []).append((b, table.of[text[a:b]][0]))
+            for a, b in runtime.contextual.found(text):
+                if low <= b - a <= (high or 99):
+                    found.setdefault(a, []).extend((b, e) for e in runtime.contextual.of[text[a:b]] if rw.fits(text, a, b, e["context"]))
+            want = runtime.choose(found, [(a, b) for a, b, _ in blocked])
+            got = runtime.layers(text, low, high, chars, False)[1]
+            assert [(m["start"], m["end"], m["entry_id"]) for m in got] == [(a, b, e["entry_id"]) for a, b, e in want]
+
+
+def test_long_words():
+    word = "ab" * 3000
+    assert re.compile(match.trie_pattern([word, "ab", word + "c"])).match(word + "c")[0] == word + "c"
