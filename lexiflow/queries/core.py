@@ -164,11 +164,6 @@ def number_to_han(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", norm.number_to_han(token).alias("han"))
 
 
-@query()
-def normalize_documents(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", norm.normalize_text(F.col("text")).alias("out"))
-
-
 @query("SELECT p_partkey, 'lx_' || substr(sha1(p_name || '|' || p_brand || '|phrase|base|' || p_type), 1, 12) AS entry_id, 'rl_' || substr(sha1('grammar|' || p_name || '|' || p_brand), 1, 12) AS rule_id FROM part")
 def entry_ids(spark, sf_dir):
     made = ids.entry_id(F.col("p_name"), F.col("p_brand"), F.lit("phrase"), F.lit("base"), F.col("p_type"))
@@ -456,12 +451,6 @@ def rewrite_full(spark, sf_dir):
     return done.select("doc_id", F.col("result.output").alias("output"), F.col("result.match_count").alias("n_matches"), F.col("result.warnings").alias("warnings"), F.transform("result.rules_applied", lambda r: F.concat_ws(":", r["rule_id"], r["hit_count"].cast("string"))).alias("rules"))
 
 
-@query()
-def low_confidence(spark, sf_dir):
-    done = rw.rewrite(_table(spark, sf_dir, "documents"), demo_runtime(spark))
-    return rw.low_confidence(done).select("kind", "action", "owner", "reason", F.md5("evidence.input").alias("input"), "evidence.match_count", "evidence.warnings")
-
-
 QUEUE = """SELECT doc_id AS line_no, 'rq_' || CAST(doc_id % 300 AS STRING) AS review_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN quality = 1 THEN 'pending' ELSE 'resolved' END AS status FROM labels"""
 DECISIONS = """SELECT doc_id AS line_no, CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'rq_' || CAST(doc_id % 400 AS STRING) END AS review_id,
   CASE doc_id % 4 WHEN 0 THEN 'add_override' WHEN 1 THEN 'disable_base_entry' WHEN 2 THEN 'reject' ELSE CASE WHEN doc_id % 3 = 0 THEN 'oops' ELSE 'add_override' END END AS decision,

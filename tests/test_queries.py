@@ -4,8 +4,9 @@ import pytest
 from oracle import assert_equal
 
 import __spark_entry__
-from lexiflow.queries import core
+from lexiflow.queries import core, whole
 
+assert whole  # its queries are registered with those of core
 SF = "/root/testdata/sf0.001"
 
 
