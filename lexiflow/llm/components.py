@@ -4,6 +4,8 @@ In each round every node points to the smallest of itself and its neighbours, ed
 renamed to where their ends point, and edges within one name vanish. A star ends after two
 rounds at most, and long chains shrink by a factor each round. All state is in checkpointed
 tables; the driver sees only counts.
+
+An edge with a null end is none. Repeated edges and loops change nothing; an empty table has no components.
 """
 
 from __future__ import annotations

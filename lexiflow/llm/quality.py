@@ -41,6 +41,7 @@ SHRINK_POOLED, SHRINK_DIAGONAL, FLOOR = 0.2, 0.1, 0.05
 HELD_OUT = 2
 FOLDS = 4
 CUT = 0.7
+MAX_BROADCAST = 200_000  # labels
 
 _KIND = np.zeros(256, np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 sentence punctuation, 5 symbol, 6 white space, 7 beyond ASCII
 for _c in range(256):
@@ -181,7 +182,12 @@ def keep_good(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     """The rows of df whose score is cut_at or more, with all their columns. The texts aren't
     shuffled: the model comes from one pass over the labelled rows, and a second pass filters."""
     known = labels.select(F.col(label_id_col).alias("_id"), F.col(label_col).alias("label")).where(~held_out(F.col("_id"))).dropDuplicates()
-    model = fit(moments(with_statistics(df, id_col=id_col, text_col=text_col).join(known, F.col(id_col) == F.col("_id")).select("x", "label")))
+    if known.count() <= MAX_BROADCAST:  # only the labelled texts are looked at
+        labelled = df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), F.col(id_col) == F.col("_id"))
+        seen = with_statistics(labelled.select(F.struct(F.col("label").cast("int").alias("label")).alias("_label"), "_text"), id_col="_label", text_col="_text").select("x", "_label.label")
+    else:
+        seen = with_statistics(df, id_col=id_col, text_col=text_col).join(known, F.col(id_col) == F.col("_id")).select("x", "label")
+    model = fit(moments(seen))
 
     @F.arrow_udf("boolean")
     def good(text: pa.Array) -> pa.Array:

@@ -33,10 +33,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "warc")
-    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    path, pages = fresh_path(spark, "warc"), table(spark, sf_dir, "pages")
+    warc.write_archive(pages, path)
     # four sides of the joins come from the records, which without payloads are small: parsed once
-    return warc.captured(warc.assemble(cut(warc.read_archive(spark, path, with_payload=False))))
+    return warc.captured(warc.assemble(cut(warc.read_archive(spark, path, with_payload=False))), pages.schema["page_id"].dataType.simpleString())
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,13 @@ A capture becomes three records: a request, a response (or a revisit of an earli
 with the same payload) and metadata; request and metadata name the capture in
 ``WARC-Concurrent-To``. Spark's own text writer makes the files (one record a row, the
 record's closing CRLF CRLF as line separator), so that any file system and the commit protocol
-that survives lost executors serve; a file holds at most ``captures_per_file`` captures, which
-bounds what a reading task has in memory. Reading splits by ``Content-Length``, never by
+that survives lost executors serve; gzip is per file, so a reader can't seek to a record. A file holds at most ``captures_per_file`` captures;
+a reading task has one file in memory, so for payloads of a megabyte and more the number has to be lowered. Reading splits by ``Content-Length``, never by
 what a payload contains.
 
 Of captures with equal payloads of at least ``min_revisit_bytes`` bytes, the one with the
-smallest id is the response and the others revisit it. Only ids and digests are shuffled for
-this; the digest counts combine before the shuffle, and the join back to the payloads may be
-split by Spark where one digest has very many rows.
+smallest id is the response and the others revisit it. The digest counts combine before their shuffle; payloads are shuffled once, by digest, to meet
+them, in a join that Spark may split where one digest has very many rows.
 
 Null payloads count as empty, null urls as the empty url; null ids sort last. Rows that repeat an
 id and payload are all responses and all come back. An empty table gives an empty archive.
