@@ -154,4 +154,6 @@ def judged(
 def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The rows of docs without a hit, with all their columns. Each row is judged by its own id and text."""
     hit = judged(docs, items, id_col=id_col, text_col=text_col, **more).where("contaminated").select(F.col(id_col).alias("_goes"), F.col("_key").alias("_gone")).distinct()
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_goes")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_gone")), "left_anti")
+    # the row as a whole, so that none of its columns' names can clash
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("of"), F.xxhash64(F.col(text_col).cast("string")).alias("key"))
+    return packed.join(hit, F.col("of").eqNullSafe(F.col("_goes")) & (F.col("key") == F.col("_gone")), "left_anti").select("row.*")

@@ -242,7 +242,9 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ratio
 def redact(df: DataFrame, *, text_col: str = "text", mask: str = "[secret]", ratios: list[float] | None = None, min_score: float = MIN_SCORE) -> DataFrame:
     """df with the mask in place of every span; spans that overlap or touch become one mask. All
     other columns stay; a null text stays null."""
-    found = find_spans(df, text_col, ratios or train(sample_counts(labelled_samples())), min_score)
+    # the row as a whole, so that none of its columns' names can clash
+    packed = df.select(F.struct("*").alias("__row"), F.col(text_col).alias("__given"))
+    found = find_spans(packed, "__given", ratios or train(sample_counts(labelled_samples())), min_score)
     found = _with(found, F.array_sort(F.concat("__base", "__added")).alias("__every"))
     masked = _with_covered(found, "__text", "__every", mask, "__masked")
-    return masked.select(*(F.when(F.col(c).isNotNull(), F.col("__masked")).alias(c) if c == text_col else F.col(c) for c in df.columns))
+    return masked.select(*(F.when(F.col("__given").isNotNull(), F.col("__masked")).alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in df.columns))
