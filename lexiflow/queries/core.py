@@ -46,7 +46,6 @@ WORDS = "the then ther and an ing tion tio of on ou her here er der die und un c
 PAIRS = {w: w[::-1].upper() for w in WORDS}
 BLOCKED = ["the", "que", "sch"]
 TERMS = ["her", "there", "ment", "on the", "eau", "de la", "ció"]
-CHARS = ("aeioué", "ÁÉÍÓÚ_")
 TEXT_RULES = [
     {"rule_id": "t1", "pass_name": "grammar", "type": "literal", "pattern": "th", "replacement": "z", "priority": 9},
     {"rule_id": "t2", "pass_name": "grammar", "type": "regex", "pattern": "[zs]e+", "replacement": "<e>", "priority": 8},
@@ -338,14 +337,6 @@ def best_entry(spark, sf_dir):
     return match.best_entries(lexicon(spark, sf_dir).withColumn("layer_rank", policy.layer_rank())).select("src", "entry_id")
 
 
-@query("WITH o AS (SELECT text AS src, max(conv_id) AS c FROM conversations WHERE conv_id % 3 = 0 GROUP BY text) SELECT v.conv_id, v.turn, md5(CASE WHEN c IS NULL THEN text ELSE 'exact ' || c END) AS out FROM conversations v LEFT JOIN o ON v.text = o.src")
-def sentence_override(spark, sf_dir):
-    talks = _table(spark, sf_dir, "conversations")
-    overrides = talks.where("conv_id % 3 = 0").groupBy(F.col("text").alias("src")).agg(F.concat(F.lit("exact "), F.max("conv_id").cast("string")).alias("tgt"))
-    joined = talks.join(overrides, talks.text == overrides.src, "left")
-    return joined.select("conv_id", "turn", F.md5(F.coalesce("tgt", "text")).alias("out"))
-
-
 def _values(words: list[str]) -> str:
     return "(VALUES " + ", ".join(f"('{w}')" for w in words) + ")"
 
@@ -389,37 +380,6 @@ def protected_mask(spark, sf_dir):
     return talks.select("conv_id", "turn", _written(match.protected_spans(F.col("text"), TERMS, F.col("_p"))).alias("spans"))
 
 
-def _context_sql() -> str:
-    parts = []
-    for w, left, right in CONTEXTS:
-        test = [f"substr(text, i, {len(w)}) = '{w}'"]
-        test += [f"ends_with(substr(text, 1, i - 1), '{left}')"] if left else []
-        test += [f"starts_with(substr(text, i + {len(w)}), '{right}')"] if right else []
-        parts.append(f"SELECT conv_id, turn, '{w}' AS src, CAST(i - 1 AS INT) AS \"start\" FROM conversations, unnest(range(1, length(text) + 1)) AS r(i) WHERE {' AND '.join(test)}")
-    return " UNION ALL ".join(parts)
-
-
-@query(_context_sql())
-def contextual_match(spark, sf_dir):
-    talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    out = None
-    for w, left, right in CONTEXTS:
-        found = talks.select("conv_id", "turn", "text", F.explode(match.match_spans_of(F.col("text"), w)).alias("_m"))
-        before, after = F.expr("substring(text, 1, _m.start)"), F.expr("substring(text, _m.end + 1)")
-        if left:
-            found = found.where(before.endswith(left))
-        if right:
-            found = found.where(after.startswith(right))
-        rows = found.select("conv_id", "turn", F.col("_m.src").alias("src"), F.col("_m.start").alias("start"))
-        out = rows if out is None else out.unionAll(rows)
-    return out
-
-
-@query(f"SELECT conv_id, turn, md5(translate(text, '{CHARS[0]}', '{CHARS[1]}')) AS out FROM conversations")
-def char_replace(spark, sf_dir):
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.translate("text", *CHARS)).alias("out"))
-
-
 # --- rules, rewriting, review
 
 CHAIN_SQL = r"regexp_replace(replace(regexp_replace(regexp_replace(replace(text, 'th', 'z'), '[zs]e+', '<e>', 'g'), '([aou])(n+)', '\2\1', 'g'), '<e>', 'e'), '\s+\z', '')"

@@ -38,9 +38,14 @@ def parsed(value: Column, schema: str, strict: bool) -> Column:
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, *, comments: bool = True, missing_ok: bool = True) -> DataFrame:
     """Rows of a JSON-lines file, with line_no; malformed lines fail. comments: lines with # are skipped."""
-    lines = _lines(spark, path, missing_ok)
-    lines = lines.where(~F.col("value").startswith("#")) if comments else lines
-    return lines.select("line_no", parsed(F.col("value"), schema, True).alias("r")).select("line_no", "r.*")
+    return _records(_lines(spark, path, missing_ok), comments).select("line_no", parsed(F.col("value"), schema, True).alias("r")).select("line_no", "r.*")
+
+
+def _records(lines: DataFrame, comments: bool) -> DataFrame:
+    """The lines that are records. A filter wouldn't do: Spark may evaluate what comes after it first, and
+    a comment is malformed and lacks all that an entry must have. No row of another line leaves explode."""
+    is_record = (F.col("value") != "") & ~F.col("value").startswith("#") if comments else F.col("value") != ""
+    return lines.select("line_no", F.explode(F.when(is_record, F.array("value"))).alias("value"))
 
 
 def from_values(df: DataFrame, schema: str, *, lenient: bool = False) -> DataFrame:
@@ -109,7 +114,7 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     """Queue rows; evidence is kept as JSON. Items without an id get one from the whole line."""
-    lines = _lines(spark, path, True).where(~F.col("value").startswith("#"))
+    lines = _records(_lines(spark, path, True), True)
     rows = lines.select("line_no", "value", parsed(F.col("value"), REVIEW, True).alias("r")).select("line_no", "value", "r.*")
     lacking = F.coalesce("review_id", F.lit("")) == ""
     return with_ids(rows.withColumn("canonical", F.when(lacking, canonical(F.when(lacking, F.col("value")))))).drop("value", "canonical")

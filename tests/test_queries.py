@@ -4,9 +4,9 @@ import pytest
 from oracle import assert_equal
 
 import __spark_entry__
-from lexiflow.queries import core, whole
+from lexiflow.queries import core, stored, whole
 
-assert whole  # its queries are registered with those of core
+assert stored and whole  # their queries are registered with those of core
 SF = "/root/testdata/sf0.001"
 
 
