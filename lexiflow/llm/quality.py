@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import cut, few_at_a_time
+from lexiflow.llm.common import cut, few_at_a_time, giving_back
 
 FEATURES = (
     "log_words", "log_mean_word", "upper", "digit", "punct", "symbol", "pipe", "high", "ends_stop", "unique", "repeat_next", "top_word",
@@ -141,7 +141,7 @@ def with_statistics(df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=[id_col, "x"])
 
     shown = df.select(F.col(id_col), F.col(text_col).cast("string"))
-    return few_at_a_time(shown).mapInArrow(run, f"`{id_col}` {shown.schema[0].dataType.simpleString()}, x array<double>")
+    return few_at_a_time(shown).mapInArrow(giving_back(run), f"`{id_col}` {shown.schema[0].dataType.simpleString()}, x array<double>")
 
 
 def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:

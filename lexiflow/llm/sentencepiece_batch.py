@@ -36,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import few_at_a_time
+from lexiflow.llm.common import few_at_a_time, giving_back
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LONG = 64
-KNOWN = 500_000
+KNOWN = 250_000
 MAX_MODEL_BYTES = 64 << 20
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -395,7 +395,7 @@ def encode(df: DataFrame, model_data: bytes, *, id_col: str = "doc_id", text_col
                     [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(np.diff(offsets).astype(np.int64)), ids, pa.array(lossless)], names=[id_col, "n_chars", "n_tokens", "ids", "lossless"]
                 )
 
-    return few_at_a_time(shown).mapInArrow(run, f"`{id_col}` {shown.schema[0].dataType.simpleString()}, n_chars long, n_tokens long, ids array<int>, lossless boolean")
+    return few_at_a_time(shown).mapInArrow(giving_back(run), f"`{id_col}` {shown.schema[0].dataType.simpleString()}, n_chars long, n_tokens long, ids array<int>, lossless boolean")
 
 
 def decode(df: DataFrame, model_data: bytes, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -409,4 +409,4 @@ def decode(df: DataFrame, model_data: bytes, *, id_col: str = "doc_id", ids_col:
             texts = [encoder.decode(np.array(x.as_py(), np.int64)) if x.is_valid else None for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return few_at_a_time(shown).mapInArrow(run, f"`{id_col}` {shown.schema[0].dataType.simpleString()}, text string")
+    return few_at_a_time(shown).mapInArrow(giving_back(run), f"`{id_col}` {shown.schema[0].dataType.simpleString()}, text string")

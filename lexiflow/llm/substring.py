@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from lexiflow.llm.common import few_at_a_time, shuffle_partitions
+from lexiflow.llm.common import few_at_a_time, giving_back, shuffle_partitions
 
 WINDOW = 13
 BEFORE, AFTER = 3, 5
@@ -306,7 +306,7 @@ def send_names(df: DataFrame, buckets: int, batch_words: int) -> DataFrame:
         if held.docs:
             yield from pack(held, number)
 
-    return few_at_a_time(df).mapInArrow(run, NAMES)
+    return few_at_a_time(df).mapInArrow(giving_back(run), NAMES)
 
 
 def shared_names(sent: DataFrame, buckets: int) -> DataFrame:
@@ -337,7 +337,7 @@ def shared_names(sent: DataFrame, buckets: int) -> DataFrame:
                 rows.append((number % buckets, number, pack_names(held[tell]), docs[tell].tobytes(), None, None))
         yield from _batches(rows, NAMES)
 
-    return sent.mapInArrow(run, NAMES)
+    return sent.mapInArrow(giving_back(run), NAMES)
 
 
 def names_by_document(shared: DataFrame) -> DataFrame:
@@ -357,7 +357,7 @@ def names_by_document(shared: DataFrame) -> DataFrame:
             names = names[order]
             yield from _batches([(int(ids[d]), int(keys[d]), pack_names(names[mine])) for d, mine in _slices(docs[order])], "_d long, _k long, names binary", 5000)
 
-    return shared.mapInArrow(run, "_d long, _k long, names binary")
+    return shared.mapInArrow(giving_back(run), "_d long, _k long, names binary")
 
 
 WINDOWS = "bucket int, names binary, windows binary, answer binary"
@@ -411,7 +411,7 @@ def send_windows(df: DataFrame, buckets: int, batch_words: int) -> DataFrame:
         if held.docs:
             yield from _batches(pack(held, memory)[0], WINDOWS)
 
-    return few_at_a_time(df).mapInArrow(run, WINDOWS)
+    return few_at_a_time(df).mapInArrow(giving_back(run), WINDOWS)
 
 
 def verify(sent: DataFrame, parts: int) -> DataFrame:
@@ -442,7 +442,7 @@ def verify(sent: DataFrame, parts: int) -> DataFrame:
         r, first, m = _runs(row, k, gone)
         yield from _batches(list(_answers(doc[r], key[r], at[r] + first, m, parts)), "part int, answer binary")
 
-    return sent.mapInArrow(run, "part int, answer binary")
+    return sent.mapInArrow(giving_back(run), "part int, answer binary")
 
 
 def by_document(answers: DataFrame) -> DataFrame:
@@ -460,7 +460,7 @@ def by_document(answers: DataFrame) -> DataFrame:
         packed = [pairs[lo:hi].tobytes() for lo, hi in zip(new, [*new[1:], len(doc)])]
         yield from _batches(list(zip(doc[new].tolist(), key.view(np.int64)[new].tolist(), packed)), "_d long, _k long, pairs binary", 5000)
 
-    return answers.mapInArrow(run, "_d long, _k long, pairs binary")
+    return answers.mapInArrow(giving_back(run), "_d long, _k long, pairs binary")
 
 
 def covered(n_words: int, packed: bytes | None) -> np.ndarray:
@@ -507,4 +507,4 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             names = [id_col, "n_words", "n_removed", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.string())] if with_text else arrays, names=[*names, "kept"] if with_text else names)
 
-    return few_at_a_time(both).mapInArrow(finish, f"`{id_col}` {id_type}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    return few_at_a_time(both).mapInArrow(giving_back(finish), f"`{id_col}` {id_type}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
