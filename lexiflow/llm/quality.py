@@ -144,18 +144,32 @@ def with_statistics(df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     return few_at_a_time(shown).mapInArrow(giving_back(run), f"`{id_col}` {shown.schema[0].dataType.simpleString()}, x array<double>")
 
 
+SUMS = "label int, place int, value double"
+
+
+def _partial(label: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """For each label the number of rows, their sums and the sums of their products, by place."""
+    for c in (0, 1):
+        rows = x[label == c]
+        if len(rows):
+            sums = np.concatenate(([len(rows)], rows.sum(axis=0), (rows.T @ rows).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sums), c, np.int32)), pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], names=["label", "place", "value"])
+
+
 def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """labelled: (x, label). Each batch adds up its own rows before anything is shuffled."""
+    """labelled: (label, x), or (label, text), whose statistics are then taken on the way, so that one Python worker does
+    both. Each batch adds up its own rows before anything is shuffled."""
     k = len(FEATURES)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for label, rows in batch.groupby("label"):
-                x = np.stack(rows["x"].to_numpy())
-                sums = np.concatenate(([len(x)], x.sum(axis=0), (x.T @ x).ravel()))
-                yield pd.DataFrame({"label": int(label), "place": np.arange(len(sums)), "value": sums})
+            if batch.num_rows:
+                given = batch.column(1)
+                x = np.array([statistics(t.as_py()) for t in given]) if batch.schema.names[1] == "text" else given.flatten().to_numpy().reshape(-1, k)
+                yield from _partial(batch.column(0).to_numpy(), x)
 
-    parts = labelled.where("label in (0, 1)").select(F.col("label").cast("int").alias("label"), "x").mapInPandas(partial, "label int, place int, value double")
+    shown = labelled.where("label in (0, 1)").select(F.col("label").cast("int").alias("label"), *(c for c in ("x", "text") if c in labelled.columns))
+    parts = few_at_a_time(shown).mapInArrow(giving_back(partial), SUMS)
     found = parts.groupBy("label", "place").agg(F.sum("value").alias("value")).toPandas()  # 2 * (1 + k + k * k) numbers
     out = {}
     for label, rows in found.groupby("label"):
@@ -183,10 +197,9 @@ def keep_good(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     shuffled: the model comes from one pass over the labelled rows, and a second pass filters."""
     known = labels.select(F.col(label_id_col).alias("_id"), F.col(label_col).alias("label")).where(~held_out(F.col("_id"))).dropDuplicates()
     if known.count() <= MAX_BROADCAST:  # only the labelled texts are looked at
-        labelled = df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), F.col(id_col) == F.col("_id"))
-        seen = with_statistics(labelled.select(F.struct(F.col("label").cast("int").alias("label")).alias("_label"), "_text"), id_col="_label", text_col="_text").select("x", "_label.label")
+        seen = df.select(F.col(id_col).alias("_of"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), F.col("_of") == F.col("_id")).select("label", "text")
     else:
-        seen = with_statistics(df, id_col=id_col, text_col=text_col).join(known, F.col(id_col) == F.col("_id")).select("x", "label")
+        seen = with_statistics(df, id_col=id_col, text_col=text_col).join(known, F.col(id_col) == F.col("_id")).select("label", "x")
     model = fit(moments(seen))
 
     @F.arrow_udf("boolean")
