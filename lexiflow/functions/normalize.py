@@ -89,24 +89,27 @@ def _number(plain: Column) -> Column:
     return F.concat(F.when(plain.startswith("-"), F.lit("負")).otherwise(F.lit("")), said, tail)
 
 
-def replace_matches(text: Column, pattern: str, replacement) -> Column:
-    """Every match replaced by ``replacement(match)``: gaps and matches, zipped."""
+def replace_matches(text: Column, pattern: str, replacement, needs: str | None = None) -> Column:
+    """Every match replaced by ``replacement(match)``: gaps and matches, zipped. needs: a cheaper pattern that a text with a match also has."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     zipped = F.zip_with(gaps, F.transform(found, replacement), lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(zipped, "")).otherwise(text)
+    return F.when(text.rlike(needs or pattern), F.array_join(zipped, "")).otherwise(text)
 
 
 def numbers_to_han(text: Column) -> Column:
-    return replace_matches(text, NUMBER, number_to_han)
+    return replace_matches(text, NUMBER, number_to_han, r"\p{Nd}")
 
 
 def normalize_text(text: Column, *, compress_spaces: bool = True, trim: bool = True) -> Column:
+    """Each step is bound once; those for Han texts look first whether there is something to do."""
     if trim:
         text = trim_outer(text)
     text = fold_forms(text)
-    if compress_spaces:
-        text = close_han(close_punctuation(compress_blanks(text)))
-    return numbers_to_han(text)
+    if not compress_spaces:
+        return let(text, numbers_to_han)
+    closed = lambda t: F.when(t.rlike(f"[{PUNCTUATION}]"), close_punctuation(t)).otherwise(t)
+    joined = lambda t: F.when(t.rlike(f"[{HAN}]{BLANK}"), close_han(t)).otherwise(t)
+    return let(let(let(compress_blanks(text), closed), joined), numbers_to_han)
 
 
 def tidy(text: Column) -> Column:

@@ -297,6 +297,10 @@ class _Source:
         return self.built
 
 
+def source_of(runtime: Runtime) -> _Source:
+    return _Source(runtime.entries, runtime.protected, runtime.rules, runtime.residual, runtime.options)
+
+
 FIELDS = [
     ("output", pa.string()),
     ("match_count", pa.int32()),
@@ -308,7 +312,7 @@ FIELDS = [
 
 def rewrite(df: DataFrame, runtime: Runtime, *, text_col: str = "text", result_col: str = "result", trace: bool = True) -> DataFrame:
     """df with a struct of RESULT; null texts give a null struct's fields. Without trace the matches are counted, not listed."""
-    held = df.sparkSession.sparkContext.broadcast(_Source(runtime.entries, runtime.protected, runtime.rules, runtime.residual, runtime.options))
+    held = df.sparkSession.sparkContext.broadcast(source_of(runtime))
 
     def run(texts: pa.Array) -> pa.Array:
         own = held.value.runtime()

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.operators import review, romanize, rules
+from lexiflow.operators import dom, review, romanize, rules
 from lexiflow.plans import artifacts
 from lexiflow.plans import rewrite as rw
 from lexiflow.queries import core, whole
@@ -163,3 +163,24 @@ def stream_reviews(spark, sf_dir):
     """What the stream put into the review queue."""
     rows = spark.read.schema("kind string").json(f"{_streamed(spark, sf_dir)}/queue")
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+BARE = r"regexp_replace(regexp_replace(regexp_replace({html}, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '[ \t\r\n]+', '', 'g')"
+ENTITIES = (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
+
+
+def _plain_sql(text: str) -> str:
+    for name, char in ENTITIES:
+        text = f"replace({text}, '{name}', '{char}')"
+    return text
+
+
+@query(f"SELECT page_id, md5(translate({_plain_sql(BARE.format(html='html'))}, '0123456789', '零一二三四五六七八九')) AS out FROM pages")
+def dom_rewritten(spark, sf_dir):
+    """Digits rewritten within pages: the texts that are left without markup."""
+    runtime = rw.Runtime([whole.entry(str(d), c, 7, "base") for d, c in enumerate("零一二三四五六七八九")], [], [], [])
+    pages = dom.rewrite_html(_table(spark, sf_dir, "pages"), runtime)
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", ""), "<[^>]*>", ""), r"[ \t\r\n]+", "")
+    for name, char in ENTITIES:
+        bare = F.replace(bare, F.lit(name), F.lit(char))
+    return pages.select("page_id", F.md5(bare).alias("out"))
