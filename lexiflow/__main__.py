@@ -18,6 +18,7 @@ from lexiflow.operators import review
 from lexiflow.plans import artifacts, rewrite
 from lexiflow.sources import lexicon as src
 
+# File names.
 QUEUE, AUDIT = "review_queue.jsonl", "review_audit.jsonl"
 
 

@@ -16,6 +16,7 @@ from lexiflow.schema import ENTRY, RULE
 from lexiflow.sources import lexicon as src
 
 RELATIONS = ("entries", "excluded", "protected", "residual", "rules")
+# The names of a data folder's files.
 SOURCES = {"lexicon": "lexicon_entries.jsonl", "rules": "rule_entries.jsonl", "core": "core_lexicon.json", "allowlist": "char_verified_allowlist.txt"}
 FOLDER = "artifacts"
 

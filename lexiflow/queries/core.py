@@ -90,6 +90,7 @@ def query(sql: str | None = None):
 
 
 WITH_LEX = f"WITH l0 AS ({LEX})"
+# Trusts, updaters, reasons, prefixes, tiers and passes, as in operators/policy.py.
 TRUST_SQL = """CASE WHEN coalesce(trust, '') IN ('human', 'machine', 'seed') THEN trust
   WHEN trim(source) = 'review_queue' AND trim(updated_by) IN ('itaigi_full', 'itaigi_bot', 'codex') THEN 'machine'
   WHEN starts_with(trim(source), 'user:') THEN 'human' WHEN tier IN ('manual', 'manual_hotfix') AND trim(source) = 'review_queue' THEN 'human' ELSE 'seed' END"""

@@ -261,6 +261,7 @@ def default_rules(spark, sf_dir):
     return rules.default_rules(spark).select("pass_name", "type", "pattern", "replacement", "priority")
 
 
+# What the named token stands for.
 @query("SELECT p_partkey, p_name || '(?:我|你|伊|恁|怹|咱|阮|他|她|你們|他們)' AS pattern, '<(?:我|你|伊|恁|怹|咱|阮|他|她|你們|他們)>' AS replacement FROM part")
 def expand_tokens(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit("{{PRONOUN}}")).alias("pattern"), F.lit("<{{PRONOUN}}>").alias("replacement"))
