@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiflow.functions import normalize as norm
 from lexiflow.operators import dom, review, romanize, rules
 from lexiflow.plans import artifacts
 from lexiflow.plans import rewrite as rw
@@ -175,12 +176,12 @@ def _plain_sql(text: str) -> str:
     return text
 
 
-@query(f"SELECT page_id, md5(translate({_plain_sql(BARE.format(html='html'))}, '0123456789', '零一二三四五六七八九')) AS out FROM pages")
+@query(f"SELECT page_id, md5({whole.tidy_sql(f"translate({_plain_sql(BARE.format(html='html'))}, '0123456789', '零一二三四五六七八九')")}) AS out FROM pages")
 def dom_rewritten(spark, sf_dir):
-    """Digits rewritten within pages: the texts that are left without markup."""
+    """Digits rewritten within pages: the texts that are left without markup, whose runs of one punctuation mark become one."""
     runtime = rw.Runtime([whole.entry(str(d), c, 7, "base") for d, c in enumerate("零一二三四五六七八九")], [], [], [])
     pages = dom.rewrite_html(_table(spark, sf_dir, "pages"), runtime)
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", ""), "<[^>]*>", ""), r"[ \t\r\n]+", "")
     for name, char in ENTITIES:
         bare = F.replace(bare, F.lit(name), F.lit(char))
-    return pages.select("page_id", F.md5(bare).alias("out"))
+    return pages.select("page_id", F.md5(norm.tidy(bare)).alias("out"))
