@@ -43,3 +43,30 @@ def test_edge_cases(spark, rows, score):
     got = quality.classify(docs, labels).collect()
     assert len(got) == 5 and {r.score for r in got} == {score} and {r.predicted for r in got} == {int(score >= 0.7)}
     assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def slow_statistics(text):
+    """The statistics, character by character."""
+    import math
+
+    text = text or ""
+    data = text.encode("utf-8")
+    logit = lambda part, whole: math.log((part + 0.5) / (whole - part + 0.5))
+    words, lines = data.split(), [x for x in data.split(b"\n") if x.strip()]
+    punct = sum(c in b".,;:?!'\"()-" for c in data)
+    letters = {"upper": sum(65 <= c <= 90 for c in data), "lower": sum(97 <= c <= 122 for c in data), "digit": sum(48 <= c <= 57 for c in data), "high": sum(c > 127 for c in data)}
+    symbol = sum(c > 32 and c < 128 and not chr(c).isalnum() and c not in b".,;:?!'\"()-" for c in data)
+    chars = sum(letters.values()) + punct + symbol
+    count = {w: words.count(w) for w in set(words)}
+    return [
+        math.log1p(len(words)), math.log1p(chars / len(words) if words else 0), logit(letters["upper"], chars), logit(letters["digit"], chars), logit(punct, chars), logit(symbol, chars),
+        logit(data.count(b"|"), chars), logit(letters["high"], chars), logit(sum(x.rstrip()[-1:] in (b".", b"!", b"?") for x in lines), len(lines)), logit(len(count), len(words)),
+        logit(sum(words[k] == words[k - 1] for k in range(1, len(words))), max(len(words) - 1, 0)), logit(max(count.values(), default=0), len(words)),
+        logit(sum(w.isupper() for w in words), len(words)), math.log1p(len(words) / max(len(lines), 1)), logit(len(set(lines)), len(lines)), logit(data.count(b"!"), chars),
+    ]
+
+
+def test_statistics_equal_a_plain_count(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for text in [t for t in texts if len(t) < 20_000] + [None, "", " \n\t", "A b|c!! 12\nA b|c!! 12\n\né~", "x" * 3000]:
+        assert np.allclose(quality.statistics(text), slow_statistics(text), rtol=1e-12, atol=1e-12), text
