@@ -32,13 +32,19 @@ def _shorter_substrings(pattern: Column) -> Column:
     return F.filter(F.array_distinct(every), lambda s: F.length(s) < F.length(pattern))
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """df, to be joined by a shuffle: Spark takes the size of a compressed file for that of its rows, and would collect
+    a million of them on the driver for a broadcast."""
+    return df.hint("merge")
+
+
 def _pairs(rules: DataFrame, earlier_key: Column, later_keys: Column, kind: str, literal: bool) -> DataFrame:
     """Pairs of an earlier and a later rule of one pass whose keys meet."""
     kept = ordered(rules).where("pattern <> ''").withColumn("replacement", F.coalesce("replacement", F.lit("")))
     kept = kept.where("type = 'literal'") if literal else kept
     earlier = kept.select("pass_name", earlier_key.alias("key"), F.col("rule_id").alias("earlier_id"), F.col("place").alias("_e"), F.col("replacement").alias("_er")).where("key <> ''")
     later = kept.select("pass_name", F.explode(later_keys).alias("key"), F.col("rule_id").alias("later_id"), F.col("place").alias("_l"), F.col("replacement").alias("_lr"))
-    return earlier.join(later, ["pass_name", "key"]).where("_e < _l").select(F.lit(kind).alias("kind"), "pass_name", "earlier_id", "later_id", "_er", "_lr")
+    return by_shuffle(earlier).join(later, ["pass_name", "key"]).where("_e < _l").select(F.lit(kind).alias("kind"), "pass_name", "earlier_id", "later_id", "_er", "_lr")
 
 
 def masked_rules(rules: DataFrame) -> DataFrame:
