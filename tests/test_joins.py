@@ -25,6 +25,11 @@ def test_masked_rules_are_not_broadcast(spark, copied):
     assert "SortMergeJoin" in shown and "Broadcast" not in shown
 
 
+def test_conflicting_rules_are_not_broadcast(spark, copied):
+    shown = plan(core.QUERIES["conflict_lint"](spark, copied))
+    assert "SortMergeJoin" in shown and "Broadcast" not in shown
+
+
 def test_pairs_are_those_of_all_rules(spark, copied):
     rows = lints.ordered(core.rule_table(spark, copied)).where("type = 'literal' and pattern <> ''").collect()
     want = {(a.rule_id, b.rule_id) for a in rows for b in rows if a.pass_name == b.pass_name and a.place < b.place and b.pattern.startswith(a.pattern)}
