@@ -60,7 +60,7 @@ def residual_terms(active: DataFrame, rules: DataFrame, terms: DataFrame) -> Dat
     """The terms that an active entry or literal rule rewrites to something else."""
     rewritten = active.where("src <> '' and src <> coalesce(tgt, '')").select(F.col("src").alias("term"))
     literal = rules.where("enabled and type = 'literal' and pattern <> '' and pattern <> coalesce(replacement, '')").select(F.col("pattern").alias("term"))
-    return terms.join(rewritten.unionAll(literal), "term", "left_semi")
+    return terms.join(lints.by_shuffle(rewritten.unionAll(literal)), "term", "left_semi")
 
 
 def kind_defaults(entries: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def with_reasons(entries: DataFrame, core: DataFrame) -> DataFrame:
     """Every entry with the reason why it isn't in the runtime lexicon, or null."""
     core_ids = core_identities(core).select("entry_id", F.lit(True).alias("_core"))
     same_ids = identity_entries(entries).select("entry_id", F.lit(True).alias("_same"))
-    joined = entries.join(core_ids.distinct(), "entry_id", "left").join(same_ids.distinct(), "entry_id", "left")
+    joined = entries.join(lints.by_shuffle(core_ids.distinct()), "entry_id", "left").join(lints.by_shuffle(same_ids.distinct()), "entry_id", "left")
     reason = (
         F.when(F.col("_core"), "core_identity_protected_term")
         .when(F.col("_same") & ~policy.is_sentence_override(), "identity_passthrough_masked")

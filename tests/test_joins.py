@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiflow.operators import lints
+from lexiflow.plans import compile as comp
 from lexiflow.queries import core
 
 
@@ -35,3 +36,13 @@ def test_pairs_are_those_of_all_rules(spark, copied):
     want = {(a.rule_id, b.rule_id) for a in rows for b in rows if a.pass_name == b.pass_name and a.place < b.place and b.pattern.startswith(a.pattern)}
     got = [(r.earlier_id, r.later_id) for r in lints.masked_rules(core.rule_table(spark, copied)).collect()]
     assert want and len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("counts", ["entry_count"])
+def test_entries_of_the_manifest_are_not_broadcast(spark, copied, counts):
+    rows, core_rows = core._parts(spark, copied)
+    allow = spark.createDataFrame([], "term string")
+    shown = plan(comp.compile_lexicon(rows, core_rows, allow, core.rule_table(spark, copied)).manifest.select(counts))
+    # the four named terms, and those of them that are rewritten, may be
+    large = [line for line in shown.splitlines() if "BroadcastHashJoin" in line and "term" not in line]
+    assert not large, large
