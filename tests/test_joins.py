@@ -38,7 +38,7 @@ def test_pairs_are_those_of_all_rules(spark, copied):
     assert want and len(got) == len(want) and set(got) == want
 
 
-@pytest.mark.parametrize("counts", ["entry_count"])
+@pytest.mark.parametrize("counts", ["entry_count", "mask_warning_count"])
 def test_entries_of_the_manifest_are_not_broadcast(spark, copied, counts):
     rows, core_rows = core._parts(spark, copied)
     allow = spark.createDataFrame([], "term string")
