@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.operators import lints
 from lexiflow.plans import compile as comp
-from lexiflow.queries import core
+from lexiflow.queries import core, whole
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +46,16 @@ def test_entries_of_the_manifest_are_not_broadcast(spark, copied, counts):
     # the four named terms, and those of them that are rewritten, may be
     large = [line for line in shown.splitlines() if "BroadcastHashJoin" in line and "term" not in line]
     assert not large, large
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """Whatever is collected on the driver for a broadcast may have 64 kB."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "65536")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_manifest_collects_no_table(spark, copied, small_broadcasts):
+    got = whole.manifest_findings(spark, copied).collect()
+    assert len(got) == 1 and got[0].mask_warning_count == lints.masked_rules(core.rule_table(spark, copied)).count() > 0
