@@ -59,3 +59,12 @@ def small_broadcasts(spark):
 def test_manifest_collects_no_table(spark, copied, small_broadcasts):
     got = whole.manifest_findings(spark, copied).collect()
     assert len(got) == 1 and got[0].mask_warning_count == lints.masked_rules(core.rule_table(spark, copied)).count() > 0
+
+
+def test_conflicts_collect_no_table(spark, copied, small_broadcasts):
+    rows = [r for r in lints.ordered(core.rule_table(spark, copied)).collect() if r.pattern]
+    pairs = [(a, b) for a in rows for b in rows if a.pass_name == b.pass_name and a.place < b.place and a.replacement != b.replacement]
+    short = [("short_first", a.rule_id, b.rule_id) for a, b in pairs if a.type == b.type == "literal" and len(a.pattern) < len(b.pattern) and a.pattern in b.pattern]
+    chain = [("chain", a.rule_id, b.rule_id) for a, b in pairs if a.replacement and a.replacement == b.pattern]
+    got = [(r.kind, r.earlier_id, r.later_id) for r in core.conflict_lint(spark, copied).collect()]
+    assert short and chain and sorted(got) == sorted(short + chain)
